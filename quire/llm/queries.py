@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quire.llm import q1_quality
+from quire.llm import q1_quality, q4_decontamination, toxicity
 
 QUERIES = {
     "op1_quality_rules": q1_quality.op1_quality_rules,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op4_decontamination": q4_decontamination.op4_decontamination,
 }
 SQL = {
     "op1_quality_rules": q1_quality.SQL,
+    "op4_decontamination": q4_decontamination.SQL,
 }
