@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from quire.llm import q1_quality, q4_decontamination, toxicity
+from quire.llm import chat_format, html_text, jaccard_join, mixing, q1_quality, q4_decontamination, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": q1_quality.op1_quality_rules,
     "op2_toxicity": toxicity.op2_toxicity,
     "op4_decontamination": q4_decontamination.op4_decontamination,
+    "op5_chat_format": chat_format.op5_chat_format,
+    "op3_warc": warc.op3_warc,
+    "op8_html_text": html_text.op8_html_text,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    "op10_mixing": mixing.op10_mixing,
 }
 SQL = {
     "op1_quality_rules": q1_quality.SQL,
     "op4_decontamination": q4_decontamination.SQL,
+    "op5_chat_format": chat_format.SQL,
+    "op3_warc": warc.SQL,
+    "op9_jaccard_join": jaccard_join.SQL,
+    "op10_mixing": mixing.SQL,
 }

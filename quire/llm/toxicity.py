@@ -96,12 +96,11 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: s
     """
     each = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     each = each.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    parts = []
-    for value in (0, 1):
-        rows = each.where(F.col("toxic") == value)
-        picked = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-        n = rows.agg(F.count("*").alias("n"))
-        parts.append(picked.join(F.broadcast(n)))
+    totals = {r.toxic: r.n for r in each.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    parts = [
+        each.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).withColumn("n", F.lit(totals.get(value, 0)).cast("bigint"))
+        for value in (0, 1)
+    ]
     ids = parts[0].unionByName(parts[1])
     slim = docs.select("doc_id", F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
     return slim.mapInArrow(_distinct_words, "doc_id bigint, toxic int, n bigint, words array<string>")
