@@ -1,8 +1,73 @@
-"""Placeholder until every stage's operator exists."""
+"""The corpus pipeline: stages that each take the documents the one before kept.
 
-STAGES: list = []
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
+returns a DataFrame. Each result is written as a table and read again as the next
+stage's documents. All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import jaccard_join, mixing, quality_rules, toxicity, winnowing
+from quire.session import table, written
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal model doesn't find toxic; it is fitted on labelled rows of ``documents``."""
+    model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=tuple(COLUMNS))
+    return scored.where(F.col("p_toxic") < toxicity.REJECT).select(*COLUMNS)
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the production policy keeps."""
+    entries = quality_rules.ledger(docs, keep=tuple(COLUMNS))
+    return quality_rules.apply_policy(entries).where("kept").select(*COLUMNS)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates (equal rows leave one)."""
+    found = jaccard_join.similar(docs)
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi")
+    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if again.limit(1).count():  # ids that repeat: one row of each
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.select(*COLUMNS)
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with passages of fewer than two benchmark items."""
+    out = winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS))
+    return out.where("NOT contaminated").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document."""
+    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+STAGES = [
+    ("toxicity", keep_clean),
+    ("quality_rules", keep_good),
+    ("ngram_jaccard_join", keep_one_of_each),
+    ("benchmark_decontamination", keep_uncontaminated),
+    ("source_mixing", mix_sources),
+]
+
+#: SQL can't express the first stage; tests/llm holds the whole against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs, f"pipeline-{name}")
+    return docs
