@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from quire.plans import join_queries, sequence_queries, status_queries, structure_queries, text_queries  # noqa: F401
+from quire.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
