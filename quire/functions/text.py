@@ -58,9 +58,15 @@ def without_spaces(c: Column) -> Column:
 
 
 def char_ngrams(c: Column, n: int = 2) -> Column:
-    """The n-character pieces at every place; none for shorter texts."""
-    last = F.length(c) - n + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """The n-character pieces at every place; none for shorter texts.
+
+    Characters are cut out once: a substring of UTF-8 text costs its distance from the start.
+    """
+    chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
+    pieces = chars
+    for k in range(2, n + 1):
+        pieces = F.zip_with(pieces, F.slice(chars, F.lit(k), F.size(chars)), lambda a, b: F.concat(a, b))
+    return F.filter(pieces, lambda x: x.isNotNull())
 
 
 def truncated(c: Column, head: int = 2000, tail: int = 4000, slack: int = 100, mark: str = "\n[...]\n") -> Column:
