@@ -52,8 +52,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     Shares by weight, cut at MOST times the size, the excess dealt again by weight:
     the fixed point is min(rate * weight, MOST * size) with one rate for all. With
     sources in order of MOST * size / weight, those that are cut come first, and the
-    rate is the first of (total - what the cut ones take) / (their rest of the
-    weight) that does not exceed the next source's ratio.
+    rate is the first of (total - what the cut ones take) / (the weight that is
+    left) that does not exceed the next source's ratio, which is the largest that
+    doesn't: from there on these quotients fall.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     each = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")))
@@ -66,7 +67,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     )
     each = each.withColumn("rate", rate)
     fits = F.col("rate") * F.col("weight") <= MOST * F.col("source_size")
-    each = each.withColumn("rate", F.min(F.when(fits, F.col("rate"))).over(everything))
+    each = each.withColumn("rate", F.max(F.when(fits, F.col("rate"))).over(everything))
     target = F.least(F.coalesce(F.col("rate") * F.col("weight"), F.lit(0.0)), (MOST * F.col("source_size")).cast("double"))
     return each.select("source", "source_size", "weight", target.alias("target"))
 
@@ -178,7 +179,7 @@ n AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS source_no
 w AS (SELECT *, CASE (source_no - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM n),
 r AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 3 / 2 - 2 * coalesce(sum(source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS rate
   FROM w WINDOW b AS (ORDER BY source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT *, least(coalesce(min(CASE WHEN rate * weight <= 2 * source_size THEN rate END) OVER () * weight, 0), CAST(2 * source_size AS DOUBLE)) AS target FROM r),
+t AS (SELECT *, least(coalesce(max(CASE WHEN rate * weight <= 2 * source_size THEN rate END) OVER () * weight, 0), CAST(2 * source_size AS DOUBLE)) AS target FROM r),
 p AS (SELECT *, least(2048, greatest(1, CAST(floor(sum(target) OVER () / {SLOTS}) AS BIGINT))) AS block, CAST(floor(target) AS BIGINT) AS goal,
   sum(target) OVER (ORDER BY source_no) / sum(target) OVER () AS hi FROM t),
 q AS (SELECT *, lag(hi, 1, 0.0) OVER (ORDER BY source_no) AS lo, CASE WHEN lead(hi) OVER (ORDER BY source_no) IS NULL THEN 1.0 ELSE hi END AS up FROM p),
