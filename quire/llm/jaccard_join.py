@@ -4,22 +4,30 @@ A document's set holds its distinct 5-word shingles as 64-bit hashes. Documents
 with equal sets form a *class*; everything below works on classes, so exact copies
 cost nothing.
 
-1. Order. One pass counts shingles into a sketch of ``2 ** SKETCH_BITS`` counters
-   (summed over all data); rare shingles come first in the candidates' order.
+1. Order. One pass counts in how many documents each shingle stands: packed hashes
+   are dealt by range and counted there. A table of fixed size (``SLOT_BITS``) keeps
+   log2 of the count of every shingle of two documents or more; rare shingles come
+   first in the candidates' order, and those that the table shows as unique can't
+   make a pair.
 2. Candidates. Two sets with J >= 3/4 share a shingle among the first
-   ``n - ceil(3n/4) + 1`` of each (prefix filter). Prefixes are packed, dealt by
-   shingle to fragments of bounded size, and each fragment finds the shingles that
-   several classes share: the *buckets*.
-3. Stars. Within a bucket every class is compared with one representative only, so
-   a bucket costs as many pairs as it has members, not their square.
+   ``n - ceil(3n/4) + 1`` of each (prefix filter). Prefixes without their unique
+   shingles are packed, dealt by shingle to fragments of bounded size, and each
+   fragment finds the shingles that several classes share: the *buckets*.
+3. Stars. Within a bucket every class is compared with one representative only, the
+   one with the fewest unique shingles, so a bucket costs as many pairs as it
+   has members, not their square.
 4. Vertical partitions. The shingle order (the hash's) is cut into ``FRAGMENTS``
    equal ranges. The overlap of a pair is counted in each range on its own and
-   summed per pair; n_a + n_b - overlap is the union.
-5. The rest. After joining what is linked into components, a bucket whose members
-   are all in one component is settled. In the others, pairs of different
-   components are compared as well, unless their distances to the bucket's
-   representative differ by more than 1/4 (the Jaccard distance is a metric, so
-   they can't link). Nothing is capped.
+   summed per pair; n_a + n_b - overlap is the union. Two ranges are counted first:
+   most pairs already miss more there than J >= 3/4 allows.
+5. Pivots. After joining what is linked into components, a bucket whose members are
+   all in one component is settled. In the others, members outside the largest
+   component are compared with ``PIVOTS`` of its members: one link is enough.
+6. The rest. In buckets that are still open, all pairs of different components are
+   compared that may link: not those whose distances to the representative differ by
+   more than 1/4 (the Jaccard distance is a metric), nor those that miss too much by
+   their unique shingles and by how many they lost of the representative's, or by the
+   bits in which their parity sketches differ. Nothing is capped.
 
 Classes in a bucket of more than ``HOT`` members get sub-buckets with their own
 representatives, which are compared among themselves.
@@ -36,8 +44,6 @@ copies; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,13 +55,19 @@ from quire.llm.words import LOWER, WordHash, chunks, flatten, grams, mix, texts_
 from quire.session import written
 
 SHINGLE = 5
-SKETCH_BITS = 22
-SKETCH_PARTS = 64
+SLOT_BITS = 26
+COUNT_PARTS = 64
+PIVOTS = 16
+FEW_LINKS = 500_000
 FRAGMENTS = 8
-BUCKET_TUPLES = 2_000_000
-HOT = 20_000
+EARLY = 2
+#: A set's parity sketch, kept as fragment SKETCH of its segments: bit i is set if an odd number of its shingles falls
+#: in cell i. Bits that differ between two sets are at most as many as the shingles that they don't share.
+SKETCH, SKETCH_CELLS = -1, 1024
+#: Fragments that prefixes are dealt to; raise with the input, a fragment is one task's arrays.
+N_FRAGMENTS = 96
+HOT = 1 << 14
 FILTER_BITS = 25
-_LOW16 = np.uint64(16)
 
 
 def shingle_sets(texts: list[bytes], hashes: WordHash) -> list[np.ndarray]:
@@ -83,116 +95,159 @@ def prefix_size(n: int) -> int:
     return n - (3 * n + 3) // 4 + 1
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, n, cls) of the documents, then the task's sketch as rows (part, counts)."""
-    hashes = WordHash()
-    sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()), ("part", pa.int32()), ("counts", pa.binary())])
-    for batch in chunks(batches, "text"):
-        sets = shingle_sets(texts_of(batch, "text"), hashes)
-        places = np.concatenate([*sets, np.zeros(0, np.uint64)]) >> np.uint64(64 - SKETCH_BITS)
-        sketch += np.bincount(places.astype(np.int64), minlength=len(sketch)).astype(np.uint32)
-        rows = batch.num_rows
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(batch.schema.get_field_index("doc_id")),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([class_of(s) for s in sets], pa.int64()),
-                pa.nulls(rows, pa.int32()),
-                pa.nulls(rows, pa.binary()),
-            ],
-            schema=schema,
-        )
-    if sketch.any():
-        parts = [zlib.compress(x.tobytes(), 1) for x in sketch.reshape(SKETCH_PARTS, -1)]
-        none = pa.nulls(SKETCH_PARTS, pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
-
-
-def _sum_sketch(table: pa.Table) -> pa.Table:
-    total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64)
-    for x in table["counts"].to_pylist():
-        total += np.frombuffer(zlib.decompress(x), np.uint32)
-    counts = np.minimum(total, 65535).astype(np.uint16)
-    return pa.table({"part": table["part"].slice(0, 1), "counts": pa.array([counts.tobytes()], pa.binary())})
-
-
-def scan(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, n, cls) of every document, and the global shingle counts (8 MB)."""
-    both = written(docs.mapInArrow(_scan, "doc_id bigint, n bigint, cls bigint, part int, counts binary"), "jaccard-scan")
-    parts = both.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(_sum_sketch, "part int, counts binary").collect()
-    counts = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint16)
-    for r in parts:
-        counts[r.part] = np.frombuffer(r.counts, np.uint16)
-    return both.where("part IS NULL").select("doc_id", "n", "cls"), counts.reshape(-1)
-
-
-def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Names that sort by (count, hash): the candidates' order. 48 bits of the hash remain."""
-    return (counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (s >> _LOW16)
-
-
-def prefixes(docs: DataFrame, counts: np.ndarray, n_fragments: int) -> DataFrame:
-    """(fragment, tokens, cls, n): packed prefix tuples, each class once in a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+def _deal_hashes(n_parts: int):
+    """Packed 32-bit pieces of the shingle hashes by part (the hash's top), and in how many of the task's classes each is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, counts = WordHash(), set(), shared.value
-        held, tokens, owners, sizes = 0, [], [], []
+        hashes, seen, held, size = WordHash(), set(), [], 0
 
         def pack() -> Iterator[pa.RecordBatch]:
-            t, c, n = np.concatenate(tokens), np.concatenate(owners), np.concatenate(sizes)
-            hot = (t >> np.uint64(48)) > np.uint64(HOT)
-            salt = np.where(hot, c.view(np.uint64) % np.maximum((t >> np.uint64(48)) // np.uint64(HOT) + np.uint64(1), 1), 0).astype(np.uint64)
+            u, n = np.unique(np.concatenate(held), return_counts=True)
+            part = (u >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)
+            cut = np.searchsorted(part, np.arange(n_parts + 1, dtype=np.uint64))
+            low = (u >> np.uint64(24)).astype(np.uint32)  # the bits below the part's and above the last 24
+            counts = np.minimum(n, 255).astype(np.uint8)
+            spans = [slice(x, y) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            rows = [(i, low[x].tobytes(), counts[x].tobytes()) for i, x in enumerate(spans) if x.start < x.stop]
+            kinds = (pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "low", "counts"])
+
+        for batch in chunks(batches, "text"):
+            for s in shingle_sets(texts_of(batch, "text"), hashes):
+                if len(s) and (name := class_of(s)) not in seen:
+                    seen.add(name)
+                    held.append(s)
+                    size += len(s)
+            if size > 2_000_000:
+                yield from pack()
+                held, size = [], 0
+        if held:
+            yield from pack()
+
+    return run
+
+
+def _levels(n_parts: int):
+    """Slots of a part's shingles of two classes or more, and the largest log2 of a count in each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        get = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()])
+        low, n = get("low", np.uint32), get("counts", np.uint8)
+        order = np.argsort(low, kind="stable")
+        low, n = low[order], n[order].astype(np.int64)
+        start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        total = np.add.reduceat(n, start)
+        twice = total > 1
+        level = np.minimum(np.log2(total[twice]).astype(np.uint8), 15)
+        slot = _slot_of_low(low[start][twice])
+        order = np.lexsort((level, slot))
+        slot, level = slot[order], level[order]
+        last = np.concatenate([slot[1:] != slot[:-1], [True]]) if len(slot) else np.zeros(0, bool)
+        return pa.table({"slots": pa.array([slot[last].astype(np.uint32).tobytes()], pa.binary()), "levels": pa.array([level[last].tobytes()], pa.binary())})
+
+    return run
+
+
+def _slot_of_low(low: np.ndarray) -> np.ndarray:
+    return (mix(low.astype(np.uint64) + np.uint64(1)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def levels(docs: DataFrame) -> np.ndarray:
+    """For every slot 0, or log2 of how many classes share a shingle: two to a byte, 32 MB."""
+    dealt = docs.select("text").mapInArrow(_deal_hashes(COUNT_PARTS), "part bigint, low binary, counts binary")
+    found = dealt.groupBy("part").applyInArrow(_levels(COUNT_PARTS), "slots binary, levels binary")
+    out = np.zeros(1 << SLOT_BITS, np.uint8)
+    # A part at a time; together they are at most one entry for each slot and part.
+    for r in written(found, "jaccard-levels").toLocalIterator():
+        at = np.frombuffer(r.slots, np.uint32)
+        out[at] = np.maximum(out[at], np.frombuffer(r.levels, np.uint8))
+    return out[0::2] | out[1::2] << np.uint8(4)
+
+
+def level_of(s: np.ndarray, table: np.ndarray) -> np.ndarray:
+    at = _slot_of_low((s >> np.uint64(24)).astype(np.uint32))
+    return (table[at >> 1] >> ((at & 1) << 2).astype(np.uint8)) & np.uint8(15)
+
+
+def prefixes(docs: DataFrame, table: np.ndarray, n_fragments: int, hot: int = HOT) -> DataFrame:
+    """Rows (doc_id, n, cls) of the documents, and packed prefix tuples (fragment, tokens, salts, owners, sizes, spares), each class once in a task."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64()),
+        ("fragment", pa.int64()), ("tokens", pa.binary()), ("salts", pa.binary()), ("owners", pa.binary()), ("sizes", pa.binary()), ("spares", pa.binary()),
+    ])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen, table = WordHash(), set(), shared.value
+        held, parts = 0, []
+
+        def pack() -> Iterator[pa.RecordBatch]:
+            t, c, n, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+            level = t >> np.uint64(60)
+            spread = np.where((np.uint64(1) << level) >= np.uint64(hot), (np.uint64(2) << level) // np.uint64(hot), np.uint64(1))
+            salt = c.view(np.uint64) % spread
             to = (mix(t + mix(salt + np.uint64(1))) % np.uint64(n_fragments)).astype(np.int64)
             order = np.lexsort((c, to))
-            t, c, n, to, salt = t[order], c[order], n[order], to[order], salt[order]
+            to = to[order]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
             spans = [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            columns = [x[order] for x in (t, salt.astype(np.uint16), c, n, w)]
+            none = pa.nulls(len(spans), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(to[cut[:-1]], pa.int64()), *(pa.array([x[s].tobytes() for s in spans], pa.binary()) for x in (t, salt.astype(np.uint16), c, n))],
-                ["fragment", "tokens", "salts", "cls", "n"],
+                [none, none, none, pa.array(to[cut[:-1]], pa.int64()), *(pa.array([x[s].tobytes() for s in spans], pa.binary()) for x in columns)], schema=schema
             )
 
         for batch in chunks(batches, "text"):
-            for s in shingle_sets(texts_of(batch, "text"), hashes):
-                if not len(s) or (name := class_of(s)) in seen:
+            sets = shingle_sets(texts_of(batch, "text"), hashes)
+            names = [class_of(s) for s in sets]
+            rows = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(batch.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()),
+                    pa.nulls(rows, pa.int64()), *(pa.nulls(rows, pa.binary()) for _ in range(5)),
+                ], schema=schema,
+            )
+            for s, name in zip(sets, names, strict=True):
+                if not len(s) or name in seen:
                     continue
                 seen.add(name)
-                p = prefix_size(len(s))
-                key = _ordered(s, counts)
-                key = np.partition(key, p - 1)[:p] if p < len(key) else key
-                tokens.append(np.unique(key))
-                owners.append(np.full(len(tokens[-1]), name, np.int64))
-                sizes.append(np.full(len(tokens[-1]), len(s), np.uint32))
-                held += len(tokens[-1])
-            if held > 1_000_000:
+                p, level = prefix_size(len(s)), level_of(s, table)
+                left = p - int((level == 0).sum())
+                if left <= 0:
+                    continue  # the prefix is unique
+                key = level[level > 0].astype(np.uint64) << np.uint64(60) | s[level > 0] >> np.uint64(4)
+                key = np.partition(key, left - 1)[:left] if left < len(key) else key
+                spare = len(s) - 7 * int((level == 0).sum())
+                parts.append((key, np.full(len(key), name, np.int64), np.full(len(key), len(s), np.uint32), np.full(len(key), spare, np.int32)))
+                held += len(key)
+            if held > 250_000:
                 yield from pack()
-                held, tokens, owners, sizes = 0, [], [], []
+                held, parts = 0, []
         if held:
             yield from pack()
 
-    return docs.select("text").mapInArrow(run, "fragment bigint, tokens binary, salts binary, cls binary, n binary")
+    kinds = "doc_id bigint, n bigint, cls bigint, fragment bigint, tokens binary, salts binary, owners binary, sizes binary, spares binary"
+    return written(docs.mapInArrow(run, kinds), "jaccard-prefixes")
 
 
-def _find_buckets(table: pa.Table) -> pa.Table:
+def _find_buckets(table: pa.Table, hot_from: int = HOT) -> pa.Table:
     """The shingles that two or more classes share: a row for each member.
 
     ``bucket`` names the members: shingles with the same members make one bucket,
     but for hot shingles, whose bucket is the shingle (its parts lie in several fragments).
     """
     get = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()])
-    t, salt, c, n = get("tokens", np.uint64), get("salts", np.uint16), get("cls", np.int64), get("n", np.uint32)
-    order = np.lexsort((c, salt, t))
-    t, salt, c, n = t[order], salt[order], c[order], n[order]
+    t, salt, c, n, w = get("tokens", np.uint64), get("salts", np.uint16), get("owners", np.int64), get("sizes", np.uint32), get("spares", np.int32)
+    order = np.lexsort((c, -w.astype(np.int64), salt, t))  # the first of a bucket is its representative
+    t, salt, c, n, w = t[order], salt[order], c[order], n[order], w[order]
     fresh = np.ones(len(t), bool)
     fresh[1:] = (t[1:] != t[:-1]) | (salt[1:] != salt[:-1]) | (c[1:] != c[:-1])
-    t, salt, c, n = t[fresh], salt[fresh], c[fresh], n[fresh]
+    t, salt, c, n, w = t[fresh], salt[fresh], c[fresh], n[fresh], w[fresh]
     first = np.ones(len(t), bool)
     first[1:] = (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])
     start = np.flatnonzero(first)
     size = np.diff(np.concatenate([start, [len(t)]]))
-    hot = (t[start] >> np.uint64(48)) > np.uint64(HOT)
+    hot = (np.uint64(1) << (t[start] >> np.uint64(60))) >= np.uint64(hot_from)
     members = np.add.reduceat(mix(c.view(np.uint64)), start) if len(start) else start.astype(np.uint64)
     name = np.where(hot, t[start], mix(members + size.astype(np.uint64))).view(np.int64)
     keep = (size > 1) | hot
@@ -201,23 +256,23 @@ def _find_buckets(table: pa.Table) -> pa.Table:
     again[unique] = True
     keep &= again | hot
     rows = np.repeat(keep, size)
-    rep, rep_n = np.repeat(c[start], size), np.repeat(n[start], size)
+    rep, rep_n, rep_spare = (np.repeat(x[start], size) for x in (c, n, w))
     return pa.table(
         {
             "bucket": pa.array(np.repeat(name, size)[rows], pa.int64()),
-            "size": pa.array(np.repeat(np.where(hot, HOT, size), size)[rows], pa.int64()),
+            "size": pa.array(np.repeat(np.where(hot, np.maximum(hot_from, 3), size), size)[rows], pa.int64()),
             "cls": pa.array(c[rows], pa.int64()),
             "n": pa.array(n[rows], pa.int64()),
             "rep": pa.array(rep[rows], pa.int64()),
             "rep_n": pa.array(rep_n[rows], pa.int64()),
+            "spare": pa.array(w[rows], pa.int64()),
+            "rep_spare": pa.array(rep_spare[rows], pa.int64()),
         }
     )
 
 
-def buckets(docs: DataFrame, counts: np.ndarray, n_shingles: int) -> DataFrame:
-    n_fragments = max(24, math.ceil(n_shingles / 4 / BUCKET_TUPLES))
-    packed = prefixes(docs, counts, n_fragments)
-    found = packed.groupBy("fragment").applyInArrow(_find_buckets, "bucket bigint, size bigint, cls bigint, n bigint, rep bigint, rep_n bigint")
+def buckets(packed: DataFrame, hot: int = HOT) -> DataFrame:
+    found = packed.groupBy("fragment").applyInArrow(lambda table: _find_buckets(table, hot), "bucket bigint, size bigint, cls bigint, n bigint, rep bigint, rep_n bigint, spare bigint, rep_spare bigint")
     return written(found, "jaccard-buckets")
 
 
@@ -228,29 +283,35 @@ def _ordered_pairs(a: str, na: str, b: str, nb: str) -> list[Column]:
     return [pick(a, b).alias("a"), pick(na, nb).alias("na"), pick(b, a).alias("b"), pick(nb, na).alias("nb")]
 
 
-def _long_enough(x: str, y: str) -> Column:
-    return 4 * F.least(x, y) >= 3 * F.greatest(x, y)
+def _possible(x: str, y: str, spare_x: str, spare_y: str) -> Column:
+    """Neither the sizes nor the unique shingles rule J >= 3/4 out.
+
+    A pair may miss (n_x + n_y) / 7 shingles, and the unique ones are all misses; with
+    spare = n - 7 * unique, that is spare_x + spare_y >= 0.
+    """
+    return (4 * F.least(x, y) >= 3 * F.greatest(x, y)) & (F.col(spare_x) + F.col(spare_y) >= 0)
 
 
-def star_pairs(found: DataFrame) -> DataFrame:
+def star_pairs(found: DataFrame, hot: int = HOT) -> DataFrame:
     """Members with their representative, and representatives of a hot bucket's parts with the first of them."""
-    own = found.where("cls != rep").select(*_ordered_pairs("cls", "n", "rep", "rep_n"))
-    parts = found.where(F.col("size") >= HOT).select("bucket", F.col("rep").alias("cls"), F.col("rep_n").alias("n")).distinct()
-    heads = parts.groupBy("bucket").agg(F.min(F.struct("cls", "n")).alias("head"))
-    across = parts.join(heads, "bucket").select("cls", "n", F.col("head.cls").alias("rep"), F.col("head.n").alias("rep_n")).where("cls != rep")
-    both = own.unionByName(across.select(*_ordered_pairs("cls", "n", "rep", "rep_n")))
-    return both.where(_long_enough("na", "nb")).distinct()
+    own = found.where("cls != rep").where(_possible("n", "rep_n", "spare", "rep_spare")).select(*_ordered_pairs("cls", "n", "rep", "rep_n"))
+    parts = found.where(F.col("size") >= hot).select("bucket", F.col("rep").alias("cls"), F.col("rep_n").alias("n"), F.col("rep_spare").alias("spare")).distinct()
+    heads = parts.groupBy("bucket").agg(F.min(F.struct("cls", "n", "spare")).alias("h")).select("bucket", F.col("h.cls").alias("rep"), F.col("h.n").alias("rep_n"), F.col("h.spare").alias("rep_spare"))
+    across = parts.join(heads, "bucket").where("cls != rep").where(_possible("n", "rep_n", "spare", "rep_spare"))
+    return own.unionByName(across.select(*_ordered_pairs("cls", "n", "rep", "rep_n"))).distinct()
 
 
-def segments(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(cls, f, shingles): the sets of the classes in ``pairs``, cut into ranges of the hash order.
+def segments(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cls, f, shingles): the sets of the given classes (cls, did), cut into ranges of the hash order.
 
-    Classes are picked by a bitmap of fixed size; a false hit only adds unused rows.
+    ``did`` is the class's smallest doc_id (the class itself where all ids are null).
+    Only these documents are shingled again; they are picked by a bitmap of fixed
+    size; a false hit adds a class that isn't asked for, or one a second time.
     """
     spark = docs.sparkSession
     size = 1 << FILTER_BITS
-    names = pairs.select(F.explode(F.array("a", "b")).alias("c")).select(F.pmod("c", F.lit(size)).alias("place"))
-    hits = names.selectExpr("cast(floor(place / 64) AS int) AS w", "shiftleft(1L, cast(pmod(place, 64) AS int)) AS bits")
+    hits = classes.select(F.pmod("did", F.lit(size)).alias("place"))
+    hits = hits.selectExpr("cast(floor(place / 64) AS int) AS w", "shiftleft(1L, cast(pmod(place, 64) AS int)) AS bits")
     words = hits.groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
     bitmap = np.zeros(size // 64, np.int64)
     bitmap[words["w"].to_numpy()] = words["bits"].to_numpy()
@@ -259,16 +320,24 @@ def segments(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, bitmap = WordHash(), set(), shared.value
         for batch in chunks(batches, "text"):
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            at = np.asarray(ids.fill_null(0)) % size
+            hit = (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+            hit |= np.asarray(ids.is_null())
+            batch = batch.filter(pa.array(hit))
             names, fs, rows = [], [], []
             for s in shingle_sets(texts_of(batch, "text"), hashes):
                 if not len(s):
                     continue
                 name = class_of(s)
-                at = name % size
-                if name in seen or not int(bitmap[at >> 6]) >> (at & 63) & 1:
+                if name in seen:
                     continue
                 seen.add(name)
                 cuts = np.searchsorted(s >> np.uint64(61), np.arange(FRAGMENTS + 1, dtype=np.uint64))
+                cells = np.bincount((mix(s) >> np.uint64(54)).astype(np.int64), minlength=SKETCH_CELLS) & 1
+                names.append(name)
+                fs.append(SKETCH)
+                rows.append(np.packbits(cells.astype(np.uint8), bitorder="little").view(np.int64))
                 for f in range(FRAGMENTS):
                     if cuts[f] < cuts[f + 1]:
                         names.append(name)
@@ -280,50 +349,118 @@ def segments(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 [pa.array(names, pa.int64()), pa.array(fs, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(values))], ["cls", "f", "shingles"]
             )
 
-    out = docs.select("text").mapInArrow(run, "cls bigint, f int, shingles array<bigint>")
+    out = docs.select("doc_id", "text").mapInArrow(run, "cls bigint, f int, shingles array<bigint>")
     return written(out, "jaccard-segments")
 
 
-def overlaps(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b, na, nb, overlap, linked): overlaps counted by fragment and summed per pair.
+def _partial(pairs: DataFrame, parts: DataFrame, fragments: range) -> DataFrame:
+    """``pairs`` with o and m: shared shingles and misses of each pair within some fragments."""
+    own = parts.where(F.col("f").between(fragments.start, fragments.stop - 1))
+    side = lambda c, s: own.select(F.col("cls").alias(c), "f", F.col("shingles").alias(s))
+    both = pairs.join(side("a", "sa"), "a").join(side("b", "sb"), ["b", "f"])
+    shared = F.size(F.array_intersect("sa", "sb")).cast("bigint")
+    each = both.select("a", "b", "f", shared.alias("o"), (F.size("sa") + F.size("sb") - 2 * shared).cast("bigint").alias("m")).repartition("a", "b")
+    # A class that was cut twice has equal segments: one count for each fragment.
+    each = each.groupBy("a", "b", "f").agg(F.max("o").alias("o"), F.max("m").alias("m"))
+    summed = each.groupBy("a", "b").agg(F.sum("o").alias("o"), F.sum("m").alias("m"))
+    zero = F.lit(0).cast("bigint")
+    return pairs.join(summed, ["a", "b"], "left").withColumn("o", F.coalesce("o", zero)).withColumn("m", F.coalesce("m", zero))
 
-    A class that several tasks packed has equal segments; the count takes their maximum first.
-    """
-    one = parts.dropDuplicates(["cls", "f"])
-    left = pairs.join(one.withColumnRenamed("cls", "a").withColumnRenamed("shingles", "sa"), "a")
-    both = left.join(one.withColumnRenamed("cls", "b").withColumnRenamed("shingles", "sb"), ["b", "f"])
-    partial = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("bigint").alias("part"))
-    summed = pairs.select("a", "b", "na", "nb").withColumn("part", F.lit(0).cast("bigint")).unionByName(partial)
-    out = summed.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
-    return out.withColumn("linked", 100 * F.col("overlap") >= 75 * (F.col("na") + F.col("nb") - F.col("overlap")))
 
+def overlaps(pairs: DataFrame, parts: DataFrame, early: int = EARLY) -> DataFrame:
+    """(a, b, linked, near, far, o): each pair's verdict, bounds of its distance, and its overlap if it was counted whole.
 
-def rest_pairs(found: DataFrame, roots: DataFrame, checked: DataFrame) -> DataFrame:
-    """Pairs of different components in unsettled buckets that the metric doesn't exclude."""
+    The first ``early`` fragments are counted for all pairs. J >= 3/4 allows at most
+    (n_a + n_b) / 7 misses in all, so pairs that miss more there are done; the rest
+    of the fragments is counted for the others only.
+    """
+    total, overlap = F.col("na") + F.col("nb"), F.col("o1") + F.col("o")
+    distance = 1 - overlap / (total - overlap)
+    verdict = [(100 * overlap >= 75 * (total - overlap)).alias("linked"), distance.alias("near"), distance.alias("far"), overlap.alias("o")]
+    if not early:
+        return _partial(pairs.withColumn("o1", F.lit(0).cast("bigint")), parts, range(FRAGMENTS)).select("a", "b", *verdict)
+    seen = written(_partial(pairs, parts, range(early)), "jaccard-early")
+    misses = F.col("m")
+    lower = 2 * misses / (total + misses)  # the distance if everything else were shared
+    gone = seen.where(7 * misses > total).select("a", "b", F.lit(False).alias("linked"), lower.alias("near"), F.lit(1.0).alias("far"), F.lit(None).cast("bigint").alias("o"))
+    left = seen.where(7 * misses <= total).withColumnRenamed("o", "o1").drop("m")
+    return gone.unionByName(_partial(left, parts, range(early, FRAGMENTS)).select("a", "b", *verdict))
+
+
+def _open(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members, with their component, of buckets that hold more than one."""
     members = found.where("size > 2").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
     members = members.withColumn("root", F.coalesce("root", "cls"))
     open_ = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    far = 1.0 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))
-    known = checked.select("a", "b", far.alias("far"))
-    rows = members.join(open_, "bucket").withColumn("a", F.least("cls", "rep")).withColumn("b", F.greatest("cls", "rep"))
-    rows = rows.join(known, ["a", "b"], "left").select("bucket", "cls", "n", "root", "rep", F.when(F.col("cls") == F.col("rep"), 0.0).otherwise(F.col("far")).alias("far"))
+    return members.join(open_, "bucket")
+
+
+def pivot_pairs(found: DataFrame, roots: DataFrame, checked: DataFrame, parts: DataFrame) -> DataFrame:
+    """In open buckets: members outside the largest component, with a few of its members."""
+    members = written(_open(found, roots), "jaccard-open")
+    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("m")).select("bucket", F.col("m.root").alias("main"))
+    inside = members.join(main, "bucket")
+    # The pivots: of each of PIVOTS hash classes the member with the fewest unique shingles.
+    share = F.pmod(F.xxhash64("bucket", "cls"), F.lit(PIVOTS))
+    lists = inside.where("root = main").groupBy("bucket", share.alias("share")).agg(F.max(F.struct("spare", F.col("cls").alias("p"), F.col("n").alias("pn"))).alias("x"))
+    lists = lists.select("bucket", "x.p", "x.pn", F.col("x.spare").alias("pspare"))
+    pairs = inside.where("root != main").select("bucket", "cls", "n", "spare").join(lists, "bucket").where(_possible("n", "pn", "spare", "pspare"))
+    return pairs.select(*_ordered_pairs("cls", "n", "p", "pn")).distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def rest_pairs(found: DataFrame, roots: DataFrame, checked: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs of different components in open buckets that the metric doesn't exclude."""
+    members = _open(found, roots)
+    rows = members.withColumn("a", F.least("cls", "rep")).withColumn("b", F.greatest("cls", "rep"))
+    rows = rows.join(checked.select("a", "b", "near", "far", "o"), ["a", "b"], "left")
+    own = F.col("cls") == F.col("rep")
+    bound = lambda c, other: F.when(own, 0.0).otherwise(F.coalesce(c, F.lit(other)))
+    rows = rows.select("bucket", "cls", "n", "spare", "root", "rep", bound("near", 0.0).alias("near"), bound("far", 1.0).alias("far"), (F.col("rep_n") - F.col("o")).alias("lost"))
+    sketches = parts.where(F.col("f") == SKETCH).groupBy("cls").agg(F.first("shingles").alias("sketch"))
+    rows = rows.join(sketches, "cls")
     x, y = rows.alias("x"), rows.alias("y")
-    near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 0.25 + 1e-9, F.lit(True)) | (F.col("x.rep") != F.col("y.rep"))
+    apart = F.greatest(F.col("x.near") - F.col("y.far"), F.col("y.near") - F.col("x.far"))
+    # What one lost of the representative and the other didn't is missed as well, beside the unique shingles.
+    misses = 7 * F.coalesce(F.abs(F.col("x.lost") - F.col("y.lost")), F.lit(0))
+    near = ((apart <= 0.25 + 1e-9) & (F.col("x.spare") + F.col("y.spare") >= misses)) | (F.col("x.rep") != F.col("y.rep"))
+    odd = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH_CELLS // 64)), F.lit(0))
+    near = near & (7 * odd <= F.col("x.n") + F.col("y.n"))
     met = x.join(
         y,
         (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
-        & (4 * F.least("x.n", "y.n") >= 3 * F.greatest("x.n", "y.n")) & near,
+        & _possible("x.n", "y.n", "x.spare", "y.spare") & near,
     )
     met = met.select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb")).distinct()
     return met.join(checked.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def components(links: DataFrame) -> DataFrame:
+def _union(table: pa.Table) -> pa.Table:
+    """(node, root) of a bounded number of links, by union-find."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in zip(table["a"].to_pylist(), table["b"].to_pylist(), strict=True):
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    return pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array([find(x) for x in nodes], pa.int64())})
+
+
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches; links: (a, b).
 
-    Alternating large-star and small-star steps; every step is written, and they
+    Up to ``few`` links (counted first) are joined in one task. Beyond, alternating large-star and small-star steps; every step is written, and they
     end when a round leaves the links as they were.
     """
+    if links.limit(few + 1).count() <= few:
+        one = links.select("a", "b").coalesce(1).withColumn("k", F.lit(0)).groupBy("k").applyInArrow(_union, "node bigint, root bigint")
+        return written(one, "roots")
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
     state = None
     while True:
@@ -340,20 +477,25 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
-def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every document."""
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows, counts = scan(slim)
-    n_shingles = rows.agg(F.sum("n")).first()[0] or 0
-    found = buckets(slim, counts, n_shingles)
-    pairs = written(star_pairs(found), "jaccard-pairs")
-    checked = written(overlaps(pairs, segments(slim, pairs)), "jaccard-overlaps")
+    found_levels = levels(slim)
+    both = prefixes(slim, found_levels, N_FRAGMENTS, hot)
+    rows = both.where("fragment IS NULL").select("doc_id", "n", "cls")
+    found = buckets(both.where("fragment IS NOT NULL").drop("doc_id", "n", "cls"), hot)
+    classes = written(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id")), "jaccard-classes")
+    named = classes.select("cls", F.coalesce("class_id", "cls").alias("did"))
+    parts = segments(slim, named.join(found.select("cls").distinct(), "cls", "left_semi"))
+    checked = written(overlaps(written(star_pairs(found, hot), "jaccard-pairs"), parts, early=0), "jaccard-overlaps")
     roots = components(checked.where("linked"))
-    more = written(rest_pairs(found, roots, checked), "jaccard-rest")
-    if more.limit(1).count():
-        again = written(overlaps(more, segments(slim, more)), "jaccard-overlaps")
-        roots = components(checked.where("linked").select("a", "b").unionByName(again.where("linked").select("a", "b")))
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"))
+    for more_pairs in (pivot_pairs, rest_pairs):
+        more = written(more_pairs(found, roots, checked, parts), "jaccard-more")
+        if more.limit(1).count():
+            again = written(overlaps(more, parts, early=1), "jaccard-overlaps")
+            checked = checked.unionByName(again)
+            if again.where("linked").limit(1).count():
+                roots = components(checked.where("linked"))
     rooted = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     firsts = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = rooted.join(firsts, "root").select("cls", "class_id", "component_id")

@@ -38,7 +38,7 @@ def alnum_words(text: bytes) -> list[bytes]:
 class WordHash(dict):
     """word -> 64-bit hash, kept for words seen before; cleared when it gets large."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -104,6 +104,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20)
             end = max(at + 1, int(np.searchsorted(total, base + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
