@@ -63,12 +63,6 @@ def features_of(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in PREFIXES if k < len(word))]
 
 
-class _Features(dict):
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        value = self[word] = tuple(features_of(word))
-        return value
-
-
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -115,34 +109,50 @@ def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
 
+class _WordSets:
+    """The word sets of an Arrow list column, made one at a time."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        self.column = column
+
+    def __len__(self) -> int:
+        return len(self.column)
+
+    def __iter__(self) -> Iterator[set[str]]:
+        return (set(x.as_py()) for x in self.column)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: str = "text") -> Model:
-    """Fit on the bounded sample; at most 2 * max_rows word lists reach the driver."""
+    """Fit on the bounded sample; at most 2 * max_rows word lists reach the driver, as Arrow columns."""
     got = sample(docs, labels, max_rows, text).toArrow().sort_by("doc_id")
-    toxic = np.array(got["toxic"].to_pylist(), np.int64)
-    totals = np.array(got["n"].to_pylist(), np.float64)
-    return fit_rows([set(w) for w in got["words"].to_pylist()], toxic, totals)
+    toxic = got["toxic"].to_numpy().astype(np.int64)
+    return fit_rows(_WordSets(got["words"]), toxic, got["n"].to_numpy().astype(np.float64))
 
 
-def fit_rows(rows: list[set[str]], toxic: np.ndarray, totals: np.ndarray | None = None) -> Model:
-    """Fit on word sets and 0/1 labels; ``totals``: rows of the label that each stands for."""
+def fit_rows(rows, toxic: np.ndarray, totals: np.ndarray | None = None) -> Model:
+    """Fit on word sets (iterated several times) and 0/1 labels; ``totals``: rows of the label that each stands for."""
     if not len(rows) or not toxic.any():
         return Model(rows=len(rows))
     votes = _votes(rows, toxic)
-    features = _Features()
-    found: tuple[dict, dict] = ({}, {})
-    for words, y, vote in zip(rows, toxic, votes, strict=True):
-        counts = found[y]
-        for f in set().union(*map(features.__getitem__, words)):
-            counts[f] = counts.get(f, 0.0) + vote
     n1, n0 = votes[toxic > 0].sum(), votes[toxic == 0].sum()
+    found: dict[str, float] = {}
+    for words, y, vote in zip(rows, toxic, votes, strict=True):
+        if y:
+            for f in {f for w in words for f in features_of(w)}:
+                found[f] = found.get(f, 0.0) + vote
+    found = {f: a for f, a in found.items() if a >= MIN_VOTES}
+    clean = dict.fromkeys(found, 0.0)
+    for words, y, vote in zip(rows, toxic, votes, strict=True):
+        if not y:
+            for f in {f for w in words for f in features_of(w) if f in clean}:
+                clean[f] += vote
     kept: dict[str, float] = {}
-    for f, a in found[1].items():
-        if a >= MIN_VOTES:
-            b = found[0].get(f, 0.0)
-            p = (a + b) / (n1 + n0)
-            z = (a / n1 - b / max(n0, 1.0)) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / n1 + 1 / max(n0, 1.0)))
-            if z >= MIN_Z:
-                kept[f] = z
+    for f, a in found.items():
+        b = clean[f]
+        p = (a + b) / (n1 + n0)
+        z = (a / n1 - b / max(n0, 1.0)) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / n1 + 1 / max(n0, 1.0)))
+        if z >= MIN_Z:
+            kept[f] = z
     names = sorted(kept, key=lambda f: (-kept[f], f))[:MAX_FEATURES]
     index = {f: i for i, f in enumerate(names)}
     if not names:
@@ -150,7 +160,7 @@ def fit_rows(rows: list[set[str]], toxic: np.ndarray, totals: np.ndarray | None
     r, c, tied = [], [], np.zeros(len(rows), np.int64)
     for i, words in enumerate(rows):
         for w in sorted(words):
-            hits = [index[f] for f in features[w] if f in index]
+            hits = [index[f] for f in features_of(w) if f in index]
             tied[i] += bool(hits)
             r += [i] * len(hits)
             c += hits
@@ -161,7 +171,7 @@ def fit_rows(rows: list[set[str]], toxic: np.ndarray, totals: np.ndarray | None
     return Model({f: float(w[i]) for f, i in index.items() if w[i] != 0}, tuple(map(float, t)), len(rows))
 
 
-def _votes(rows: list[set[str]], toxic: np.ndarray) -> np.ndarray:
+def _votes(rows, toxic: np.ndarray) -> np.ndarray:
     """1 / (rows of the label whose ``SKETCH`` smallest word hashes are the same)."""
     hashes = WordHash()
     keys = [(int(y), tuple(heapq.nsmallest(SKETCH, map(hashes.__getitem__, words))) or -i) for i, (words, y) in enumerate(zip(rows, toxic, strict=True))]
