@@ -7,7 +7,8 @@ of the schedule is close to the target weights. Slots are ranked within their
 source. A source's documents, in a shuffled order that depends on their ids only,
 lie end to end on a line that repeats; its r-th slot takes the r-th block of words
 of that line, and joining slots to blocks says which words of which document the
-slot gets. What a source takes ends at its target, which is at most twice its
+slot gets. A small source can miss its slots by more than a trifle once blocks have many
+words; the blocks that it lacks are then dealt as well, so that it reaches its target. What a source takes ends at its target, which is at most twice its
 size, so no word is taken more than twice.
 
 Scale: positions on the lines and ranks of slots are prefix sums in two steps,
@@ -38,6 +39,8 @@ POINTS = 1 << 31
 #: 2**31 / golden ratio, made odd.
 STEP = 1327217885
 BUCKET_ROWS = 4096
+#: Slots may leave a source this part of its goal short; beyond, the rest is dealt as well.
+NEAR = 1024
 SLOT_CHUNK = 1 << 16
 
 
@@ -78,9 +81,11 @@ def block_words(total: Column) -> Column:
 
 
 def schedule(spark, shares: DataFrame) -> DataFrame:
-    """(source_no, rank, slot) of every slot; ``shares``: source_no, target, block.
+    """(source_no, rank, slot) of every slot; ``shares``: source_no, target, goal, block.
 
-    The point of slot i is (i * STEP mod 2**31) / 2**31.
+    The point of slot i is (i * STEP mod 2**31) / 2**31. Where blocks have several words
+    and its slots leave a source more than 1/NEAR of its goal short, the ranks that it
+    lacks are added, spread evenly over the slots.
     """
     totals = shares.agg(F.sum("target").alias("t"), F.max("block").alias("b")).first()
     n = int(-(-(totals.t or 0) // (totals.b or 1)))
@@ -98,7 +103,18 @@ def schedule(spark, shares: DataFrame) -> DataFrame:
     counts = counts.select("source_no", "chunk", base.alias("base"))
     inside = F.row_number().over(Window.partitionBy("source_no", "chunk").orderBy("id")) - 1
     ranked = dealt.withColumn("inside", inside).join(counts, ["source_no", "chunk"])
-    return ranked.select("source_no", (F.col("base") + F.col("inside")).cast("bigint").alias("rank"), F.col("id").alias("slot"))
+    ranked = ranked.select("source_no", (F.col("base") + F.col("inside")).cast("bigint").alias("rank"), F.col("id").alias("slot"))
+    return ranked.unionByName(_rest(dealt, shares, n))
+
+
+def _rest(dealt: DataFrame, shares: DataFrame, n: int) -> DataFrame:
+    """(source_no, rank, slot) of the ranks up to the goal that the ``n`` slots leave out."""
+    had = shares.join(dealt.groupBy("source_no").agg(F.count("*").alias("had")), "source_no", "left").withColumn("had", F.coalesce("had", F.lit(0)))
+    short = had.where((F.col("block") > 1) & ((F.col("goal") - F.col("had") * F.col("block")) * NEAR > F.col("goal")))
+    short = short.withColumn("more", F.ceil(F.col("goal") / F.col("block")) - F.col("had"))
+    each = short.select("source_no", "had", "more", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("more") - 1)).alias("i"))
+    slot = F.floor((F.col("i") + 0.5) * n / F.col("more"))
+    return each.select("source_no", (F.col("had") + F.col("i")).cast("bigint").alias("rank"), slot.cast("bigint").alias("slot"))
 
 
 def key_of(source: Column) -> Column:
@@ -155,7 +171,7 @@ def pieces(docs: DataFrame, text: str = "text", source: str = "source", doc_id:
     plan = plan.withColumn("block", block_words(F.sum("target").over(Window.partitionBy()))).withColumn("goal", F.floor("target").cast("bigint"))
     placed = lines(sized, plan, n_rows).withColumn("p", F.explode_outer(_pieces()))
     placed = placed.select("row", "doc_id", "source", "size", "source_size", "target", "source_no", "p.rank", "p.lo", "p.hi")
-    slots = schedule(docs.sparkSession, plan.select("source_no", "target", "block"))
+    slots = schedule(docs.sparkSession, plan.select("source_no", "target", "goal", "block"))
     return placed.join(slots, ["source_no", "rank"], "left").drop("source_no", "rank")
 
 

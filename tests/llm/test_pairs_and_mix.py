@@ -157,6 +157,24 @@ def test_mix_schedule_is_even(spark):
             assert abs(seen[s] - 500 * t / total) <= 12
 
 
+def test_small_sources_reach_their_targets_in_large_blocks(spark, monkeypatch):
+    """Blocks of 2,048 words, and sources of 100 to 10,000 words beside a large one."""
+    monkeypatch.setattr(mixing, "SLOTS", 64)
+    small = {"a": 100, "c": 300, "e": 1000, "g": 2000, "i": 5000, "k": 10_000}
+    rows = [(i, "w " * 5000, "en", "big", 0) for i in range(80)]
+    rows += [(1000 + i, "w " * (n // 4), "en", s, 0) for s, n in small.items() for i in range(4)]
+    out = mixing.pieces(spark.createDataFrame(rows, DOCS)).collect()
+    taken, target = Counter(), {r.source: r.target for r in out}
+    for r in out:
+        if r.slot is not None:
+            taken[r.source] += r.hi - r.lo
+            assert 0 <= r.slot < math.ceil(sum(target.values()) / mixing.BLOCK)
+    assert sum(target.values()) // 64 > mixing.BLOCK
+    for s in small:
+        assert 0 <= target[s] - taken[s] < 1 + target[s] / 1000, s
+    assert max(Counter((r.row, r.slot, r.lo, r.hi) for r in out).values()) <= mixing.MOST
+
+
 def tokens(text):
     return [w.lower() if w.isascii() else w for w in re.findall("[^\x20\x09-\x0d]+", text or "")] + [""]
 
