@@ -1,7 +1,7 @@
 """Mixing sources to target weights with a low-discrepancy schedule, in DataFrame functions only.
 
 The mix is a run of slots of ``block`` words each. Slot i takes the i-th point of
-the golden-ratio sequence, computed in integers modulo 2**31, and belongs to the
+the golden-ratio sequence, computed in integers modulo 2**31 or 2**60, and belongs to the
 source whose share of the cumulative targets holds that point; so every stretch
 of the schedule is close to the target weights. Slots are ranked within their
 source. A source's documents, in a shuffled order that depends on their ids only,
@@ -38,6 +38,10 @@ CELLS = 4096
 POINTS = 1 << 31
 #: 2**31 / golden ratio, made odd.
 STEP = 1327217885
+#: From FINE slots on the 31 bits show as gaps; the step is then 2**60 / golden ratio, as three digits of 20 bits.
+FINE = 1 << 19
+DIGIT = 1 << 20
+LONG_STEP = (648055, 637311, 305089)
 BUCKET_ROWS = 4096
 #: Slots may leave a source this part of its goal short; beyond, the rest is dealt as well.
 NEAR = 1024
@@ -80,16 +84,30 @@ def block_words(total: Column) -> Column:
     return F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(total / SLOTS))).cast("bigint")
 
 
+def point(i: Column, n: int) -> Column:
+    """The point of slot ``i`` of ``n``: i * STEP mod 2**31, from FINE slots on i * LONG_STEP mod 2**60, as a share of 1.
+
+    The digits are multiplied one by one, so that no product of i < 2**42 overflows;
+    the last 7 bits are cut, which a double can't hold.
+    """
+    if n <= FINE:
+        return F.pmod(F.pmod(i, F.lit(POINTS)) * STEP, F.lit(POINTS)) / POINTS
+    value = F.lit(0).cast("bigint")
+    for k, digit in enumerate(LONG_STEP):
+        value = F.pmod(value * DIGIT + i * digit, F.lit(DIGIT ** (k + 1)))
+    return F.shiftright(value, 7) / (1 << 53)
+
+
 def schedule(spark, shares: DataFrame) -> DataFrame:
     """(source_no, rank, slot) of every slot; ``shares``: source_no, target, goal, block.
 
-    The point of slot i is (i * STEP mod 2**31) / 2**31. Where blocks have several words
+    Where blocks have several words
     and its slots leave a source more than 1/NEAR of its goal short, the ranks that it
     lacks are added, spread evenly over the slots.
     """
     totals = shares.agg(F.sum("target").alias("t"), F.max("block").alias("b")).first()
     n = int(-(-(totals.t or 0) // (totals.b or 1)))
-    slots = spark.range(n).withColumn("u", F.pmod(F.pmod(F.col("id"), F.lit(POINTS)) * STEP, F.lit(POINTS)) / POINTS)
+    slots = spark.range(n).withColumn("u", point(F.col("id"), n))
     slots = slots.withColumn("cell", F.floor(F.col("u") * CELLS).cast("int"))
     order = Window.orderBy("source_no")
     upto = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("target").over(Window.partitionBy())

@@ -157,6 +157,19 @@ def test_mix_schedule_is_even(spark):
             assert abs(seen[s] - 500 * t / total) <= 12
 
 
+@pytest.mark.parametrize("n", [1_000_000, 4_000_000])
+def test_schedule_of_millions_of_slots_is_even(spark, n):
+    """Largest gap and star discrepancy, in slots."""
+    import numpy as np
+
+    i = spark.range(n)
+    u = np.sort(i.select(mixing.point(i.id, n).alias("u")).toArrow()["u"].to_numpy())
+    assert 0 <= u[0] and u[-1] < 1
+    assert np.diff(u).max() * n < 1.7
+    at = np.arange(n)
+    assert max((u * n - at).max(), (at + 1 - u * n).max()) < 5
+
+
 def test_small_sources_reach_their_targets_in_large_blocks(spark, monkeypatch):
     """Blocks of 2,048 words, and sources of 100 to 10,000 words beside a large one."""
     monkeypatch.setattr(mixing, "SLOTS", 64)
