@@ -30,13 +30,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates (equal rows leave one)."""
-    found = jaccard_join.similar(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    if again.limit(1).count():  # ids that repeat: one row of each
-        kept = kept.dropDuplicates(["doc_id"])
+    """The document with the smallest id of each group of near-duplicates (equal rows leave one).
+
+    Rows are told apart by a hash of all their columns, so ids may be null or stand on
+    several texts; a null id comes after all others.
+    """
+    key = F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
+    keyed = docs.withColumn("row_key", key)
+    found = jaccard_join.similar(keyed, doc_id="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    named = found.join(keyed.select("row_key", "doc_id").distinct(), "row_key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("m")).select("m.row_key")
+    kept = keyed.join(first, "row_key", "left_semi")
+    again = kept.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1")
+    if again.limit(1).count():  # rows that repeat
+        kept = kept.dropDuplicates(["row_key"])
     return kept.select(*COLUMNS)
 
 

@@ -143,3 +143,18 @@ def test_pipeline_stages(spark, tmp_path):
     sizes = {r[0]: len((r[1] or "").split()) for r in rows}
     assert all(r.size == sizes[r.doc_id] and 0 <= r.taken <= 2 * r.size for r in out)
     assert sum(r.taken for r in out) == pytest.approx(1.5 * sum(r.size for r in out), rel=0.02)
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    """One row of each group is kept, whatever the ids."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [
+        (None, text(0), "en", "a", 0), (None, text(1), "en", "a", 0), (None, text(1), "en", "a", 0),  # two texts, one of them twice
+        (5, text(2), "en", "a", 0), (5, text(3), "en", "a", 0),  # one id on two texts
+        (7, text(3) + " more", "en", "a", 0), (4, text(2) + " more", "en", "b", 0), (None, text(2), "de", "c", 0),  # near copies of both
+        (9, None, "en", "a", 0), (10, None, "en", "a", 0), (None, None, "en", "a", 0),  # without words: linked with nothing
+    ]
+    out = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert out.columns == corpus_pipeline.COLUMNS
+    got = sorted((tuple(r) for r in out.collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[4], rows[6], *rows[8:]], key=str)
