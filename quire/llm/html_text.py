@@ -2,9 +2,11 @@
 
 A page is parsed into a tree in one pass over its tags (void elements, optional
 end tags, raw-text elements, comments, cut-off markup). Parts that are never
-article text are dropped: by tag (navigation, header, footer, aside, forms,
-scripts, styles ...), by role, and by tell-tale words in class or id (adverts,
-cookie notices, comments, sidebars ...).
+article text are dropped: by tag (navigation, header, footer, aside, scripts,
+styles ...); and forms, and elements with a tell-tale role, class or id (adverts,
+cookie notices, comments, sidebars ...), unless they hold most of the page's text
+outside links. A class or id tells only as a whole, and ids of headings, and of
+sections inside an article or main, don't. Formulas are text.
 
 Every remaining node has C characters, T tags, LC characters inside links and LT
 link tags in its subtree. With the body's totals C_b and LC_b, its composite
@@ -42,9 +44,9 @@ from pyspark.sql import functions as F
 from quire.llm.words import chunks
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
 DROPPED = frozenset(
-    "head script style noscript template iframe object embed svg math canvas audio video map nav header footer aside form button "
+    "head script style noscript template iframe object embed svg canvas audio video map nav header footer aside button "
     "select option input textarea label fieldset dialog menu title link meta base noembed noframes xmp".split()
 )
 BLOCKS = frozenset(
@@ -67,12 +69,17 @@ CLOSES = {
 ENDS_P = BLOCKS - {"html", "body", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"} | {"nav", "header", "footer", "aside", "form", "fieldset", "menu"}
 SCOPE = frozenset("html body table td th caption button object template article section div main blockquote li dd dt".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|"
+_WORDS = (
+    r"(?:ads?|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|"
     r"signup|login|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|widget|footer|masthead|site-header|page-header|topbar|toolbar|"
-    r"comments?|commentlist|disqus|replies|reply|respond|discussion|social|share|sharing|related|recommended|pagination|pager|skip-link|search)(?:$|[\s_-])",
-    re.I,
+    r"comments?|commentlist|disqus|replies|reply|respond|discussion|social|share|sharing|related|recommended|pagination|pager|skip-link|search)"
 )
+#: What may stand beside a tell-tale word in a class or id without changing what it says.
+_NEUTRAL = r"(?:site|page|main|top|bottom|left|right|list|box|bar|area|block|container|wrapper|section|inner|links?|form|buttons?|posts?|articles?|global|primary|secondary|\d+)"
+_HINT = re.compile(rf"(?:{_NEUTRAL}[_-])*{_WORDS}(?:[_-](?:{_WORDS}|{_NEUTRAL}))*", re.I)
+_REPLIES = re.compile(r"comments?|commentlist|disqus|replies|reply|respond|discussion", re.I)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ANNOTATION = re.compile(r"<(annotation(?:-xml)?)(?=[\s>]).*?</\1\s*>", re.I | re.S)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S
 )
@@ -81,26 +88,58 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>"']+))?
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "dropped")
+    __slots__ = ("tag", "attrs", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "inside", "hint", "dropped")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
-        self.dropped = parent is not None and (parent.dropped or tag in DROPPED or bool(attrs) and _hinted(tag, attrs))
-
-
-def _hinted(tag: str, attrs: str) -> bool:
-    if tag in ("html", "body", "article", "main"):
-        return False
-    for m in _ATTRIBUTE.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.lower() in ROLES or name in ("class", "id") and _HINT.search(value):
-            return True
-    return False
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.hint = "form" if tag == "form" else None
+        self.dropped = parent is not None and (parent.dropped or tag in DROPPED)
+        if attrs and not self.dropped:
+            self._read()
+
+    def _read(self) -> None:
+        """What the attributes say: ``dropped``, or a ``hint`` that holds unless most of the page's text is in here."""
+        tag = self.tag
+        if tag in ("html", "body", "article", "main"):
+            return
+        slug = tag in _HEADINGS or tag == "section" and self.inside  # the id names a part of the text
+        for m in _ATTRIBUTE.finditer(self.attrs):
+            name, value = m[1].lower(), (m[2] or "").strip("\"'")
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+                self.dropped = True
+            elif name == "role" and value.lower() in ROLES:
+                self.hint = self.hint or "role"
+            elif name == "class" or name == "id" and not slug:
+                found = [x for x in value.split() if _HINT.fullmatch(x)]
+                if found:
+                    self.hint = "replies" if any(map(_REPLIES.search, found)) else self.hint or name
+
+
+def _drop_hinted(root: Node) -> None:
+    """Drop hinted elements that don't hold more than half of the page's text outside links.
+
+    Comments may be longer than what they comment on: they go if any such text is outside them.
+    """
+    nodes: list[tuple[Node, bool]] = []
+    todo = [(root, False)]
+    while todo:
+        node, link = todo.pop()
+        nodes.append((node, link))
+        todo += [(c, link or c.tag == "a") for c in node.children if not isinstance(c, str) and c.tag != "head" and c.tag not in RAW]
+    plain: dict[int, int] = {}
+    for node, link in reversed(nodes):
+        own = 0 if link else sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        plain[id(node)] = own + sum(plain.get(id(c), 0) for c in node.children if not isinstance(c, str))
+    total = plain[id(root)]
+    for node, _ in nodes:  # parents come first
+        node.dropped = node.dropped or node.parent is not None and node.parent.dropped
+        if node.hint and not node.dropped:
+            mine = plain[id(node)]
+            node.dropped = mine < total if node.hint == "replies" else 2 * mine <= total
 
 
 def parse(source: str) -> Node:
@@ -135,6 +174,11 @@ def parse(source: str) -> Node:
                 open_[-1].children.append(node)
                 open_.append(node)
             continue
+        if tag == "math" and (close := re.compile(r"</math(?=[\s>])[^>]*>", re.I).search(source, at)):
+            # A formula is text of the block it stands in, without its markup.
+            open_[-1].children.append(re.sub(r"<[^>]*>", "", _ANNOTATION.sub("", source[at : close.start()])))
+            at = close.end()
+            continue
         if tag in ENDS_P:
             _implied(open_, {"p"}, SCOPE)
         if tag in CLOSES:
@@ -147,6 +191,7 @@ def parse(source: str) -> Node:
             at = close.end() if close else n
         elif tag not in VOID:
             open_.append(node)
+    _drop_hinted(root)
     return root
 
 
@@ -167,7 +212,7 @@ def _end(open_: list[Node], tag: str) -> None:
         if open_[i].tag == tag:
             del open_[i:]
             return
-        if open_[i].tag in ("article", "main", "body", "td", "table") and tag not in BLOCKS and tag not in DROPPED:
+        if open_[i].tag in ("article", "main", "body", "td", "table") and tag not in BLOCKS and tag not in DROPPED and tag != "form":
             return
 
 
@@ -254,9 +299,9 @@ def text_of(node: Node) -> str:
         if isinstance(x, str):
             pieces.append(html.unescape(x) if "&" in x else x)
         elif x.dropped:
-            pieces.append(" " if x.tag in BLOCKS or x.tag in DROPPED else "")
+            pieces.append(" " if x.tag in BLOCKS or x.tag in DROPPED or x.tag == "form" else "")
         else:
-            block = x.tag in BLOCKS
+            block = x.tag in BLOCKS or x.tag == "form"
             if block or x.tag == "br":
                 pieces.append(" ")
                 todo.append(" ")

@@ -71,6 +71,22 @@ def test_main_text(page, text):
     assert html_text.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><h2 id='related-work'>Related</h2><p>one</p><section id='discussion'><p>two</p></section></article>", "Related one two"),
+        ("<article><section id='search-algorithms'><h2 id='share'>S</h2><p>three</p></section></article>", "S three"),
+        ("<div class='site-content no-sidebar'><p>body text</p></div>", "body text"), ("<div class='sidebar-right'><p>body text</p></div>", "body text"),
+        ("<form action=x><div><p>whole page</p></div><input></form>", "whole page"),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='t'>x=1</annotation></math> hold.</p>", "Let x=1 hold."),
+        ("<main><p>short</p><div class='comment-list'><p>much longer than the text</p></div></main>", "short"),
+        ("<div><p>long enough text</p></div><div class='related-posts'>r</div><form>f</form>", "long enough text"),
+    ],
+)
+def test_article_text_is_not_taken_for_chrome(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_density_prefers_text_to_links():
     links = "".join(f"<li><a href=x>link number {i}</a></li>" for i in range(60))
     text = "".join(f"<p>Sentence {i} of the text, with some words in it.</p>" for i in range(12))
