@@ -9,7 +9,7 @@ outside links. A class or id tells only as a whole, and ids of headings, and of
 sections inside an article or main, don't. Formulas are text.
 
 Every remaining node has C characters, T tags, LC characters inside links and LT
-link tags in its subtree. With the body's totals C_b and LC_b, its composite
+link tags in its subtree; tags that only format words aren't counted. With the body's totals C_b and LC_b, its composite
 density is
 
     C/T * log_b( (C * T) / (LC * LT) ),
@@ -19,15 +19,16 @@ with every count at least 1 in a quotient. A node's density sum is the sum of it
 children's densities. The node with the largest sum is the centre; the smallest
 density on the path from it to the body is the threshold. Going down from the
 body, whatever subtree reaches the threshold keeps its node of largest sum; the
-selection is their smallest common subtree, widened to the enclosing article or
-main element, whose every block belongs to the text.
+selection is their smallest common subtree. The names of elements play no part in it.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by one space. Nothing else is dropped.
 
 Defined cases: null and empty pages, and pages whose every part is dropped, have
-empty text; repeated rows are separate; very deep nesting is parsed without
-recursion; other columns are ignored, whatever their names.
+empty text; of equal sums and densities the first node in the page is taken; repeated
+rows are separate; very deep nesting and very long pages are parsed without recursion,
+in time proportional to their length and depth; other columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ BLOCKS = frozenset(
     "html body address article blockquote center dd details dir div dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr li main ol p pre "
     "section summary table caption tbody thead tfoot tr td th ul search".split()
 )
+#: Tags that format words inside a block; they don't count as tags, so that emphasis and line ends don't thin a text out.
+FORMATTING = frozenset("abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: An open element that the start tag of the key ends, up to the given limits.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -88,13 +91,14 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>"']+))?
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "inside", "hint", "dropped")
+    __slots__ = ("tag", "attrs", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "depth", "inside", "hint", "dropped")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.depth = parent.depth + 1 if parent is not None else 0
         self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
         self.hint = "form" if tag == "form" else None
         self.dropped = parent is not None and (parent.dropped or tag in DROPPED)
@@ -224,7 +228,7 @@ def nodes_of(root: Node) -> list[Node]:
         if node.dropped:
             continue
         out.append(node)
-        todo += [c for c in node.children if not isinstance(c, str)]
+        todo += [c for c in reversed(node.children) if not isinstance(c, str)]
     return out
 
 
@@ -238,7 +242,7 @@ def measure(root: Node) -> list[Node]:
                 node.chars += len(child) - child.count(" ") if not child.isspace() else 0
             elif not child.dropped:
                 node.chars += child.chars
-                node.tags += child.tags + 1
+                node.tags += child.tags + (child.tag not in FORMATTING)
                 node.link_chars += child.link_chars
                 node.link_tags += child.link_tags + (child.tag == "a")
         if link:
@@ -274,20 +278,20 @@ def select(root: Node) -> Node | None:
             chosen.append(best if best.total else node)
         else:
             todo += inner
-    chosen = chosen or [centre]
-    within = lambda n: {id(x) for x in _ancestors(n)}
-    common = set.intersection(*map(within, chosen))
-    top = next(x for x in _ancestors(centre) if id(x) in common) if id(centre) in {id(x) for x in chosen} else next(x for x in _ancestors(chosen[0]) if id(x) in common)
-    articles = [x for x in _ancestors(centre) if x.tag in ("article", "main")]
-    return articles[-1] if articles else top
+    top = chosen[0] if chosen else centre
+    for node in chosen[1:]:
+        top = _common(top, node)
+    return top
 
 
-def _ancestors(node: Node | None) -> list[Node]:
-    out = []
-    while node is not None:
-        out.append(node)
-        node = node.parent
-    return out
+def _common(a: Node, b: Node) -> Node:
+    """The smallest subtree that holds both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+    return a
 
 
 def text_of(node: Node) -> str:
