@@ -11,11 +11,16 @@ Every mark starts with ``<|``. Inside texts and roles ``&``, ``<`` and ``[`` are
 written as ``&amp;``, ``&lt;`` and ``&#91;`` (and a newline in a role as
 ``&#10;``), so that no text can spell a mark of this template or of the common
 bracketed ones, and replacing them back in the reverse order restores the text.
+Reading parts a turn's content at its placeholders before it restores the texts, so a
+text that spells ``<|image|>`` stays a text. The k-th placeholder of a conversation
+belongs to its k-th attachment; text parts that touch read back as one.
 
 Defined cases: null role, text, kind or reference count as empty; an unknown kind
 of part is handled like a document; null turns come last; equal turns are ordered
 by role, then text, then their other parts; a null conv_id is a conversation of
-its own; a conversation is one row of output, so its turns meet in one task.
+its own; repeated rows are turns of their own; a conversation is one row of output, so
+its turns meet in one task, however long it is; other columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -99,19 +104,33 @@ def format_chat(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
     return out.withColumn("n_attachment_tokens", total)
 
 
+def read_parts(content: Column) -> Column:
+    """A turn's content as ``array<struct<kind, text>>``: texts restored, other parts with a null text."""
+    kinds = "|".join(DEFAULT_TOKENS)
+    pieces = F.filter(F.split(content, rf"(?=<\|(?:{kinds})\|>)|(?<=<\|(?:{kinds})\|>)"), lambda x: x != "")
+
+    def part(piece: Column) -> Column:
+        mark = piece.startswith("<|")
+        kind = F.when(mark, F.regexp_extract(piece, r"<\|(\w+)\|>", 1)).otherwise(F.lit("text"))
+        return F.struct(kind.alias("kind"), F.when(~mark, unescape(piece)).alias("text"))
+
+    return F.transform(pieces, part)
+
+
 def read_chat(formatted: Column) -> Column:
-    """The turns that a formatted text holds: ``array<struct<role, text, trained>>``.
+    """The turns that a formatted text holds: ``array<struct<role, parts, text, trained>>``.
 
-    ``trained`` marks the loss mask: the content of assistant turns, and nothing of
-    the marks around it. Placeholders stay in ``text`` as they were written.
+    ``text`` joins the text parts. ``trained`` marks the loss mask: the texts of assistant
+    turns, and nothing of the marks and placeholders around them.
     """
     pieces = F.filter(F.split(formatted, r"<\|im_end\|>\n"), lambda x: x != "")
 
     def parse(piece: Column) -> Column:
         body = F.substr(piece, F.lit(len(START) + 1))
         role = unescape(F.substring_index(body, "\n", 1), ROLE_ESCAPES)
-        text = unescape(F.substr(body, F.instr(body, "\n") + F.lit(1)))
-        return F.struct(role.alias("role"), text.alias("text"), (role == "assistant").alias("trained"))
+        parts = read_parts(F.substr(body, F.instr(body, "\n") + F.lit(1)))
+        text = F.array_join(F.transform(F.filter(parts, lambda p: p["kind"] == "text"), lambda p: p["text"]), "")
+        return F.struct(role.alias("role"), parts.alias("parts"), text.alias("text"), (role == "assistant").alias("trained"))
 
     return F.transform(pieces, parse)
 
@@ -119,8 +138,8 @@ def read_chat(formatted: Column) -> Column:
 def op5_chat_format(spark, sf_dir: str) -> DataFrame:
     from quire.session import table
 
-    own = spark.createDataFrame(
-        [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id bigint, turn bigint, role string, text string"
+    own = spark.sql(
+        "SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     turns = format_chat(rows).withColumn("turns", read_chat(F.col("formatted")))
