@@ -3,21 +3,24 @@
 Writing: each partition becomes one archive file, one gzip member for each record
 (WARC/1.1), put under a temporary name and renamed, so a task that runs twice
 replaces its own file. Reading: members are inflated incrementally, record
-headers are parsed, the block is framed by Content-Length, and the payload digest
-is checked against the header.
+headers are parsed, the block is framed by Content-Length, and the payload's digest and
+length are checked against the header. A revisit holds no payload: ``check`` looks its
+digest and length up at the response that it refers to.
 
 Of records with equal payloads of at least ``REVISIT_FROM`` bytes, the one with
 the largest id is written as ``response`` and the others as ``revisit`` with an
 empty payload that refers to it. Digests are computed by Spark; the largest id of
-each digest is an aggregate, joined back over a salt, so that a payload that
-fills a third of the table is spread over ``SALTS`` tasks.
+each digest that repeats is an aggregate. Up to ``SMALL_REPEATS`` such digests (counted
+first) are broadcast, so payloads aren't shuffled; beyond, they are joined over a salt, so
+that a payload that fills a third of the table is spread over ``SALTS`` tasks.
 
 Files go through pyarrow's file systems by the URI of the folder, which has to be
 one that driver and executors share.
 
 Defined cases: a null payload is an empty one; null ids are below all others;
-rows that repeat the id of the response are responses as well; an empty table
-writes no records.
+rows that repeat the id of the response are responses as well; one Arrow batch
+of records is held in memory at a time, read back one record at a time; other columns are ignored, whatever their names; an
+empty table writes no records.
 """
 
 from __future__ import annotations
@@ -33,10 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import scratch
+from quire.session import scratch, written
 
 REVISIT_FROM = 1000
 SALTS = 32
+SMALL_REPEATS = 200_000
 READ = 1 << 16
 VERSION = b"WARC/1.1\r\n"
 #: The archives' date; a fixed one keeps reruns byte for byte the same.
@@ -44,15 +48,19 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+def with_revisits(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html", small: int = SMALL_REPEATS) -> DataFrame:
     """(page_id, url, payload, digest, payload_bytes, refers_to): refers_to is null for responses."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
     large = F.col("payload_bytes") >= REVISIT_FROM
     first = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    joined = rows.withColumn("salt", salt).join(first, ["digest", "salt"], "left")
+    first = written(first, "warc-repeats")
+    if first.limit(small + 1).count() <= small:
+        joined = rows.join(F.broadcast(first), "digest", "left")
+    else:
+        first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        joined = rows.withColumn("salt", salt).join(first, ["digest", "salt"], "left")
     other = large & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", "payload_bytes", F.when(other, F.col("first")).alias("refers_to"))
 
@@ -159,14 +167,18 @@ def _records(data) -> Iterator[tuple]:
     for raw in members(data):
         headers, block = parse_record(raw)
         payload = block.partition(b"\r\n\r\n")[2]
-        digest = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
+        said = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
         own = headers["warc-record-id"].removeprefix("<urn:page:").removesuffix(">")
         refers = headers.get("warc-refers-to", "").removeprefix("<urn:page:").removesuffix(">")
-        revisit = headers["warc-type"] == "revisit"
-        ok = revisit or hashlib.sha1(payload, usedforsecurity=False).hexdigest() == digest
+        size, digest, ok = len(payload), hashlib.sha1(payload, usedforsecurity=False).hexdigest(), True
+        if headers["warc-type"] == "revisit":
+            ok = not payload
+            size, digest = int(headers["x-payload-length"]), said
+        else:
+            ok = digest == said and size == int(headers.get("x-payload-length", size))
         yield (
             int(own) if own else None, _many_lines(headers["warc-target-uri"]), headers["warc-type"], int(refers) if refers else None,
-            payload, int(headers["x-payload-length"]), digest, ok,
+            payload, size, digest, ok,
         )
 
 
@@ -205,12 +217,25 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
     return files.repartition(n, "path").mapInArrow(run, READ_SCHEMA)
 
 
+def check(records: DataFrame) -> None:
+    """Raise if a record fails its digest or length, or a revisit has no response with its digest and length."""
+    failed = records.where("NOT digest_ok").select("page_id").limit(5).collect()
+    if failed:
+        raise ValueError(f"records whose payload differs from their headers: {[r.page_id for r in failed]}")
+    claims = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest", "payload_bytes").distinct()
+    held = records.where("record_type = 'response'").select("page_id", "payload_digest", "payload_bytes").distinct()
+    lost = claims.join(held, ["page_id", "payload_digest", "payload_bytes"], "left_anti").limit(5).collect()
+    if lost:
+        raise ValueError(f"revisits without their response: {[r.page_id for r in lost]}")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.session import table
 
     folder = scratch(spark, "warc")
     write_archives(with_revisits(table(spark, sf_dir, "pages")), folder)
-    back = read_archives(spark, folder, payloads=False)
+    back = written(read_archives(spark, folder, payloads=False).drop("payload"), "warc-records")
+    check(back)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
 
