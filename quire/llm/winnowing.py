@@ -8,19 +8,25 @@ benchmark's, and each hit is extended to the windows that contain it, whose
 words are then compared themselves; what is returned rests on equal words, not
 on equal hashes.
 
-Size: the fingerprint filter is a bitmap of ``FILTER`` places, whatever the
-benchmark's size. Up to ``SMALL_WINDOWS`` distinct windows (counted first) their
-texts are broadcast and one pass over the documents finishes; beyond, the windows
-that pass the filter are joined with the benchmark's by their text, salted.
+Size: the fingerprint filter is a bitmap of 8 to 16 places for each window, from
+2 ** ``FILTER_BITS[0]`` to 2 ** ``FILTER_BITS[1]`` (128 MB); it comes to the driver as
+64-bit words. Up to ``SMALL_WINDOWS`` pairs of window and item (counted first) are
+broadcast and one pass over the documents finishes; beyond, the windows that pass the
+filter are joined with the benchmark's by their text, salted, under a row key: the
+documents' own columns stay where they are until the hits come back.
 
 Defined cases: null, empty and wordless texts have no words, windows or hits;
 repeated items count once by id; an item without an id marks words but is not
-counted; repeated documents each get their row; an empty benchmark hits nothing.
+counted; repeated documents each get their row; a window held by very many items gives each of
+its documents all of them; very long texts are one row of a batch; other columns are
+ignored, whatever their names; an empty benchmark hits nothing, and an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.words import WordHash, alnum_words, chunks, covered, flatten, grams, starts, texts_of
+from quire.session import written
 
 WINDOW = 8
 GRAM = 5
 KEPT_OF = WINDOW - GRAM + 1
-FILTER = 1 << 22
+FILTER_BITS = (22, 30)
 SMALL_WINDOWS = 200_000
 SALTS = 16
 CONTAMINATED_FROM = 2
@@ -64,13 +71,14 @@ def candidates(h: np.ndarray, offsets: np.ndarray, sizes: list[int], bitmap: np.
         if not len(at):
             continue
         first = np.concatenate([[True], place[1:] != place[:-1]])  # the winnowed selection
-        hit = bitmap[(value[first] & np.uint64(FILTER - 1)).astype(np.int64)]
+        slot = (value[first] & np.uint64(len(bitmap) * 64 - 1)).astype(np.int64)
+        hit = (bitmap[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0
         extended = hit[np.cumsum(first) - 1]
         yield m, at[extended], owner[extended]
 
 
 def windows(items: DataFrame, text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """(item_id, m, window, slot): every window of every item; slot: its fingerprint's place in the filter."""
+    """(item_id, m, window, fingerprint): every window of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -84,18 +92,18 @@ def windows(items: DataFrame, text: str = "text", item_id: str = "item_id") -> D
             for m in sorted({min(int(n), WINDOW) for n in sizes if n}):
                 at, owner, _, value = fingerprints(h, offsets, m)
                 fits = (sizes[owner] >= WINDOW) if m == WINDOW else (sizes[owner] == m)
-                for i, o, v in zip(at[fits].tolist(), owner[fits].tolist(), (value[fits] & np.uint64(FILTER - 1)).tolist(), strict=True):
+                for i, o, v in zip(at[fits].tolist(), owner[fits].tolist(), value[fits].view(np.int64).tolist(), strict=True):
                     who.append(o)
                     ms.append(m)
                     texts.append(b" ".join(flat[i : i + m]))
                     slots.append(v)
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(who, pa.int64())), pa.array(ms, pa.int32()), pa.array(texts, pa.binary()), pa.array(slots, pa.int32())],
-                ["item_id", "m", "window", "slot"],
+                [ids.take(pa.array(who, pa.int64())), pa.array(ms, pa.int32()), pa.array(texts, pa.binary()), pa.array(slots, pa.int64())],
+                ["item_id", "m", "window", "fingerprint"],
             )
 
     slim = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text).cast("string").alias("text"))
-    return slim.mapInArrow(run, "item_id bigint, m int, window binary, slot int")
+    return slim.mapInArrow(run, "item_id bigint, m int, window binary, fingerprint bigint")
 
 
 def _digest(ids) -> str:
@@ -105,17 +113,27 @@ def _digest(ids) -> str:
 OUT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, item_ids array<bigint>"
 
 
+def filter_of(found: DataFrame) -> np.ndarray:
+    """The fingerprints' places as 64-bit words of a bitmap."""
+    n = found.count()
+    bits = min(FILTER_BITS[1], max(FILTER_BITS[0], math.ceil(math.log2(n + 1)) + 3))
+    place = F.col("fingerprint").bitwiseAND(F.lit((1 << bits) - 1))
+    slots = found.select(place.alias("place")).selectExpr("shiftright(place, 6) AS w", "shiftleft(1L, cast(place & 63 AS int)) AS bits")
+    words = slots.groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 def decontaminate(
     docs: DataFrame, items: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), small_windows: int = SMALL_WINDOWS
 ) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, item_ids and contaminated."""
     spark = docs.sparkSession
-    found = windows(items)
-    slots = [r.slot for r in found.select("slot").distinct().collect()]  # at most FILTER numbers
-    sizes = sorted(r.m for r in found.select("m").distinct().collect())
-    bitmap = np.zeros(FILTER, bool)
-    bitmap[slots] = True
-    few = found.select("window").distinct().limit(small_windows + 1).count() <= small_windows
+    found = written(windows(items), "winnowing-windows")
+    sizes = sorted(r.m for r in found.select("m").distinct().collect())  # at most WINDOW
+    bitmap = filter_of(found)
+    few = found.select("window", "item_id").distinct().limit(small_windows + 1).count() <= small_windows
     slim = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("text"))
     keys = [f"k{i}" for i in range(len(keep))]
     out = (_by_dictionary if few else _by_join)(spark, slim, found, sizes, bitmap)
@@ -193,17 +211,21 @@ def _by_join(spark, slim: DataFrame, found: DataFrame, sizes: list[int], bitmap:
 
     keyed = slim.withColumn("row", F.monotonically_increasing_id())
     places = "places array<struct<at: int, m: int, window: binary>>"
-    kept = [c for c in keyed.columns if c != "text"]
-    every = keyed.mapInArrow(run, f"{_types(keyed)}, n_words bigint, {places}")
-    rows = every.select(*kept, "n_words", F.explode_outer("places").alias("p"))
-    rows = rows.select(*kept, "n_words", "p.at", "p.m", "p.window", F.pmod(F.xxhash64("row", "p.at"), F.lit(SALTS)).alias("salt"))
-    known = found.groupBy("window").agg(F.collect_set("item_id").alias("ids"))
-    known = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    joined = rows.join(known, ["window", "salt"], "left")
-    span = F.when(F.col("ids").isNotNull(), F.struct("at", "m"))
-    grouped = joined.groupBy(*kept, "n_words").agg(
-        F.collect_set(span).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids")
-    )
+    kept = [c for c in keyed.columns if c not in ("text", "row")]
+    every = written(keyed.mapInArrow(run, f"{_types(keyed)}, n_words bigint, {places}"), "winnowing-rows")
+    rows = every.select("row", F.explode("places").alias("p"))
+    rows = rows.select("row", "p.at", "p.m", "p.window", F.pmod(F.xxhash64("row", "p.at"), F.lit(SALTS)).alias("salt"))
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")
+    known = found.select("window").distinct().select("window", salts)
+    hits = written(rows.join(known, ["window", "salt"]), "winnowing-hits")
+    spans = hits.groupBy("row").agg(F.collect_set(F.struct("at", "m")).alias("spans"))
+    # Pairs of row and window first, so that a window's items are met once for each document.
+    of_items = found.where("item_id IS NOT NULL").select("window", "item_id").distinct().select("*", salts)
+    pairs = hits.select("row", "window", "salt").distinct().join(of_items, ["window", "salt"]).select("row", "item_id").distinct()
+    ids = pairs.groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("item_ids"))
+    none = F.array().cast("array<struct<at: int, m: int>>")
+    grouped = every.drop("places").join(spans, "row", "left").join(ids, "row", "left")
+    grouped = grouped.withColumn("spans", F.coalesce("spans", none)).withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<bigint>")))
     # The spans in order of their start; the union's length grows by what lies past the furthest end so far.
     state = F.struct(F.lit(0).cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("n"))
 
@@ -214,7 +236,7 @@ def _by_join(spark, slim: DataFrame, found: DataFrame, sizes: list[int], bitmap:
 
     as_text = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
     return grouped.select(
-        *[c for c in kept if c != "row"],
+        *kept,
         "n_words",
         F.aggregate(F.array_sort("spans"), state, step)["n"].alias("n_hit"),
         F.size("item_ids").cast("bigint").alias("n_items"),
