@@ -5,14 +5,15 @@ with equal sets form a *class*; everything below works on classes, so exact copi
 cost nothing.
 
 1. Order. One pass counts in how many documents each shingle stands: packed hashes
-   are dealt by range and counted there. A table of fixed size (``SLOT_BITS``) keeps
+   are dealt by range and counted there; the number of ranges follows the words of the
+   input. A table of fixed size (``SLOT_BITS``) keeps
    log2 of the count of every shingle of two documents or more; rare shingles come
    first in the candidates' order, and those that the table shows as unique can't
    make a pair.
 2. Candidates. Two sets with J >= 3/4 share a shingle among the first
    ``n - ceil(3n/4) + 1`` of each (prefix filter). Prefixes without their unique
-   shingles are packed, dealt by shingle to fragments of bounded size, and each
-   fragment finds the shingles that several classes share: the *buckets*.
+   shingles are packed, dealt by shingle to fragments of about ``FRAGMENT_WORDS`` words
+   of the input each, and each fragment finds the shingles that several classes share: the *buckets*.
 3. Stars. Within a bucket every class is compared with one representative only, the
    one with the fewest unique shingles, so a bucket costs as many pairs as it
    has members, not their square.
@@ -27,10 +28,13 @@ cost nothing.
    compared that may link: not those whose distances to the representative differ by
    more than 1/4 (the Jaccard distance is a metric), nor those that miss too much by
    their unique shingles and by how many they lost of the representative's, or by the
-   bits in which their parity sketches differ. Nothing is capped.
+   bits in which their parity sketches differ. Members meet by bands of their size and,
+   within a bucket, in blocks of ``REST_MEMBERS``, so one bucket is many tasks' work.
+   Nothing is capped.
 
-Classes in a bucket of more than ``HOT`` members get sub-buckets with their own
-representatives, which are compared among themselves.
+Classes in a bucket of more than ``HOT`` members get as many sub-buckets as keep these
+below it, with their own representatives, which are compared among themselves. Classes
+of very many copies take their component's name over salts.
 
 Components come from alternating large-star and small-star steps over the links,
 each step a table in the shared folder.
@@ -38,12 +42,14 @@ each step a table in the shared folder.
 Defined cases: a document of 1 to 4 words has its whole sequence as its one
 shingle; without words or text the set is empty, linked with nothing, and the
 component is its own id; null ids are never the smallest; repeated rows are
-copies; an empty table gives an empty result.
+copies; very long texts are one row of a batch; other columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,7 +62,6 @@ from quire.session import written
 
 SHINGLE = 5
 SLOT_BITS = 26
-COUNT_PARTS = 64
 PIVOTS = 16
 FEW_LINKS = 500_000
 FRAGMENTS = 8
@@ -64,9 +69,14 @@ EARLY = 2
 #: A set's parity sketch, kept as fragment SKETCH of its segments: bit i is set if an odd number of its shingles falls
 #: in cell i. Bits that differ between two sets are at most as many as the shingles that they don't share.
 SKETCH, SKETCH_CELLS = -1, 1024
-#: Fragments that prefixes are dealt to; raise with the input, a fragment is one task's arrays.
-N_FRAGMENTS = 96
+#: Words of the input (bytes / 6) for each range of the counting and for each fragment of the prefixes: one task's arrays.
+COUNT_WORDS, FRAGMENT_WORDS = 4 << 20, 4 << 20
 HOT = 1 << 14
+#: Members of a block of an open bucket.
+REST_MEMBERS = 512
+#: Classes with more rows than 1 / HOT_SHARE of all (so at most HOT_SHARE of them) are spread over SALTS.
+HOT_SHARE, SALTS = 1024, 64
+LEVEL_BITS = np.uint64(58)
 FILTER_BITS = 25
 
 
@@ -106,7 +116,7 @@ def _deal_hashes(n_parts: int):
             part = (u >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)
             cut = np.searchsorted(part, np.arange(n_parts + 1, dtype=np.uint64))
             low = (u >> np.uint64(24)).astype(np.uint32)  # the bits below the part's and above the last 24
-            counts = np.minimum(n, 255).astype(np.uint8)
+            counts = n.astype(np.uint32)
             spans = [slice(x, y) for x, y in zip(cut[:-1], cut[1:], strict=True)]
             rows = [(i, low[x].tobytes(), counts[x].tobytes()) for i, x in enumerate(spans) if x.start < x.stop]
             kinds = (pa.int64(), pa.binary(), pa.binary())
@@ -127,18 +137,18 @@ def _deal_hashes(n_parts: int):
     return run
 
 
-def _levels(n_parts: int):
+def _levels():
     """Slots of a part's shingles of two classes or more, and the largest log2 of a count in each."""
 
     def run(table: pa.Table) -> pa.Table:
         get = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()])
-        low, n = get("low", np.uint32), get("counts", np.uint8)
+        low, n = get("low", np.uint32), get("counts", np.uint32)
         order = np.argsort(low, kind="stable")
         low, n = low[order], n[order].astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
         total = np.add.reduceat(n, start)
         twice = total > 1
-        level = np.minimum(np.log2(total[twice]).astype(np.uint8), 15)
+        level = np.log2(total[twice]).astype(np.uint8)
         slot = _slot_of_low(low[start][twice])
         order = np.lexsort((level, slot))
         slot, level = slot[order], level[order]
@@ -152,21 +162,20 @@ def _slot_of_low(low: np.ndarray) -> np.ndarray:
     return (mix(low.astype(np.uint64) + np.uint64(1)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def levels(docs: DataFrame) -> np.ndarray:
-    """For every slot 0, or log2 of how many classes share a shingle: two to a byte, 32 MB."""
-    dealt = docs.select("text").mapInArrow(_deal_hashes(COUNT_PARTS), "part bigint, low binary, counts binary")
-    found = dealt.groupBy("part").applyInArrow(_levels(COUNT_PARTS), "slots binary, levels binary")
+def levels(docs: DataFrame, n_words: int) -> np.ndarray:
+    """For every slot 0, or log2 of how many classes share a shingle: a byte each, 64 MB."""
+    dealt = docs.select("text").mapInArrow(_deal_hashes(max(1, -(-n_words // COUNT_WORDS))), "part bigint, low binary, counts binary")
+    found = dealt.groupBy("part").applyInArrow(_levels(), "slots binary, levels binary")
     out = np.zeros(1 << SLOT_BITS, np.uint8)
     # A part at a time; together they are at most one entry for each slot and part.
     for r in written(found, "jaccard-levels").toLocalIterator():
         at = np.frombuffer(r.slots, np.uint32)
         out[at] = np.maximum(out[at], np.frombuffer(r.levels, np.uint8))
-    return out[0::2] | out[1::2] << np.uint8(4)
+    return out
 
 
 def level_of(s: np.ndarray, table: np.ndarray) -> np.ndarray:
-    at = _slot_of_low((s >> np.uint64(24)).astype(np.uint32))
-    return (table[at >> 1] >> ((at & 1) << 2).astype(np.uint8)) & np.uint8(15)
+    return table[_slot_of_low((s >> np.uint64(24)).astype(np.uint32))]
 
 
 def prefixes(docs: DataFrame, table: np.ndarray, n_fragments: int, hot: int = HOT) -> DataFrame:
@@ -183,7 +192,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, n_fragments: int, hot: int = HO
 
         def pack() -> Iterator[pa.RecordBatch]:
             t, c, n, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-            level = t >> np.uint64(60)
+            level = t >> LEVEL_BITS
             spread = np.where((np.uint64(1) << level) >= np.uint64(hot), (np.uint64(2) << level) // np.uint64(hot), np.uint64(1))
             salt = c.view(np.uint64) % spread
             to = (mix(t + mix(salt + np.uint64(1))) % np.uint64(n_fragments)).astype(np.int64)
@@ -191,7 +200,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, n_fragments: int, hot: int = HO
             to = to[order]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(to)) + 1, [len(to)]])
             spans = [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            columns = [x[order] for x in (t, salt.astype(np.uint16), c, n, w)]
+            columns = [x[order] for x in (t, salt.astype(np.uint32), c, n, w)]
             none = pa.nulls(len(spans), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [none, none, none, pa.array(to[cut[:-1]], pa.int64()), *(pa.array([x[s].tobytes() for s in spans], pa.binary()) for x in columns)], schema=schema
@@ -215,7 +224,7 @@ def prefixes(docs: DataFrame, table: np.ndarray, n_fragments: int, hot: int = HO
                 left = p - int((level == 0).sum())
                 if left <= 0:
                     continue  # the prefix is unique
-                key = level[level > 0].astype(np.uint64) << np.uint64(60) | s[level > 0] >> np.uint64(4)
+                key = level[level > 0].astype(np.uint64) << LEVEL_BITS | s[level > 0] >> (np.uint64(64) - LEVEL_BITS)
                 key = np.partition(key, left - 1)[:left] if left < len(key) else key
                 spare = len(s) - 7 * int((level == 0).sum())
                 parts.append((key, np.full(len(key), name, np.int64), np.full(len(key), len(s), np.uint32), np.full(len(key), spare, np.int32)))
@@ -237,7 +246,7 @@ def _find_buckets(table: pa.Table, hot_from: int = HOT) -> pa.Table:
     but for hot shingles, whose bucket is the shingle (its parts lie in several fragments).
     """
     get = lambda c, kind: np.concatenate([np.frombuffer(x, kind) for x in table[c].to_pylist()])
-    t, salt, c, n, w = get("tokens", np.uint64), get("salts", np.uint16), get("owners", np.int64), get("sizes", np.uint32), get("spares", np.int32)
+    t, salt, c, n, w = get("tokens", np.uint64), get("salts", np.uint32), get("owners", np.int64), get("sizes", np.uint32), get("spares", np.int32)
     order = np.lexsort((c, -w.astype(np.int64), salt, t))  # the first of a bucket is its representative
     t, salt, c, n, w = t[order], salt[order], c[order], n[order], w[order]
     fresh = np.ones(len(t), bool)
@@ -247,7 +256,7 @@ def _find_buckets(table: pa.Table, hot_from: int = HOT) -> pa.Table:
     first[1:] = (t[1:] != t[:-1]) | (salt[1:] != salt[:-1])
     start = np.flatnonzero(first)
     size = np.diff(np.concatenate([start, [len(t)]]))
-    hot = (np.uint64(1) << (t[start] >> np.uint64(60))) >= np.uint64(hot_from)
+    hot = (np.uint64(1) << (t[start] >> LEVEL_BITS)) >= np.uint64(hot_from)
     members = np.add.reduceat(mix(c.view(np.uint64)), start) if len(start) else start.astype(np.uint64)
     name = np.where(hot, t[start], mix(members + size.astype(np.uint64))).view(np.int64)
     keep = (size > 1) | hot
@@ -418,23 +427,43 @@ def rest_pairs(found: DataFrame, roots: DataFrame, checked: DataFrame, parts: Da
     bound = lambda c, other: F.when(own, 0.0).otherwise(F.coalesce(c, F.lit(other)))
     rows = rows.select("bucket", "cls", "n", "spare", "root", "rep", bound("near", 0.0).alias("near"), bound("far", 1.0).alias("far"), (F.col("rep_n") - F.col("o")).alias("lost"))
     sketches = parts.where(F.col("f") == SKETCH).groupBy("cls").agg(F.first("shingles").alias("sketch"))
-    rows = rows.join(sketches, "cls")
-    x, y = rows.alias("x"), rows.alias("y")
+    rows = written(rows.join(sketches, "cls"), "jaccard-rest")
+    # A bucket's members in blocks: block i of a band meets blocks j >= i of it, and all blocks of the next band.
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / REST_MEMBERS).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "bucket").withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    # A band is a trifle wider than 4/3, so that sizes that may link are at most one band apart.
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / (math.log(4 / 3) * (1 + 1e-9))).cast("int"))
+    x = _dealt_left(rows).alias("x")
+    y = _dealt_right(rows).alias("y")
     apart = F.greatest(F.col("x.near") - F.col("y.far"), F.col("y.near") - F.col("x.far"))
     # What one lost of the representative and the other didn't is missed as well, beside the unique shingles.
     misses = 7 * F.coalesce(F.abs(F.col("x.lost") - F.col("y.lost")), F.lit(0))
     near = ((apart <= 0.25 + 1e-9) & (F.col("x.spare") + F.col("y.spare") >= misses)) | (F.col("x.rep") != F.col("y.rep"))
     odd = sum((F.bit_count(F.col("x.sketch")[i].bitwiseXOR(F.col("y.sketch")[i])) for i in range(SKETCH_CELLS // 64)), F.lit(0))
     near = near & (7 * odd <= F.col("x.n") + F.col("y.n"))
-    met = x.join(
-        y,
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
-        & _possible("x.n", "y.n", "x.spare", "y.spare") & near,
-    )
-    met = met.select(F.col("x.cls").alias("a"), F.col("x.n").alias("na"), F.col("y.cls").alias("b"), F.col("y.n").alias("nb")).distinct()
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("bucket", "low", "high", "bi", "bj")]
+    # Within a block each pair comes once; a pair of two blocks or bands meets in one of them only.
+    once = (F.col("x.low") != F.col("x.high")) | (F.col("x.bi") != F.col("x.bj")) | (F.col("x.cls") < F.col("y.cls"))
+    met = x.join(y, [*same, once, F.col("x.root") != F.col("y.root"), _possible("x.n", "y.n", "x.spare", "y.spare"), near])
+    met = met.select(*_ordered_pairs("x.cls", "x.n", "y.cls", "y.n")).distinct()
     return met.join(checked.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def _dealt_left(rows: DataFrame) -> DataFrame:
+    """Members as the left side of their blocks' meetings: bands (low, high) and blocks (bi, bj)."""
+    own = F.transform(F.sequence(F.col("i"), F.col("blocks") - 1), lambda j: F.struct(F.col("band").alias("high"), j.alias("bj")))
+    following = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct((F.col("band") + 1).alias("high"), j.alias("bj")))
+    out = rows.withColumn("low", F.col("band")).withColumn("bi", F.col("i")).withColumn("to", F.explode(F.concat(own, following)))
+    return out.withColumn("high", F.col("to.high")).withColumn("bj", F.col("to.bj")).drop("to")
+
+
+def _dealt_right(rows: DataFrame) -> DataFrame:
+    own = F.transform(F.sequence(F.lit(0), F.col("i")), lambda j: F.struct(F.col("band").alias("low"), j.alias("bi")))
+    before = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct((F.col("band") - 1).alias("low"), j.alias("bi")))
+    out = rows.withColumn("high", F.col("band")).withColumn("bj", F.col("i")).withColumn("to", F.explode(F.concat(own, before)))
+    return out.withColumn("low", F.col("to.low")).withColumn("bi", F.col("to.bi")).drop("to")
+
+
 def _union(table: pa.Table) -> pa.Table:
     """(node, root) of a bounded number of links, by union-find."""
     parent: dict[int, int] = {}
@@ -480,11 +509,11 @@ def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
 def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: int = HOT) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) of every document."""
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found_levels = levels(slim)
-    both = prefixes(slim, found_levels, N_FRAGMENTS, hot)
+    n_words = (slim.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0) // 6
+    both = prefixes(slim, levels(slim, n_words), max(1, -(-n_words // FRAGMENT_WORDS)), hot)
     rows = both.where("fragment IS NULL").select("doc_id", "n", "cls")
     found = buckets(both.where("fragment IS NOT NULL").drop("doc_id", "n", "cls"), hot)
-    classes = written(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id")), "jaccard-classes")
+    classes = written(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies")), "jaccard-classes")
     named = classes.select("cls", F.coalesce("class_id", "cls").alias("did"))
     parts = segments(slim, named.join(found.select("cls").distinct(), "cls", "left_semi"))
     checked = written(overlaps(written(star_pairs(found, hot), "jaccard-pairs"), parts, early=0), "jaccard-overlaps")
@@ -499,7 +528,7 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: in
     rooted = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     firsts = rooted.groupBy("root").agg(F.min("class_id").alias("component_id"))
     named = rooted.join(firsts, "root").select("cls", "class_id", "component_id")
-    out = rows.join(named, "cls", "left")
+    out = _with_names(rows, named, classes)
     empty = F.col("n") == 0
     return out.select(
         "doc_id",
@@ -509,6 +538,17 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot: in
     )
 
 
+def _with_names(rows: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with their class's names; the rows of the few very large classes are spread over salts."""
+    n = rows.count()
+    large = classes.where(F.col("copies") * HOT_SHARE > max(n, HOT_SHARE * SALTS)).select("cls", F.lit(SALTS).alias("salts"))
+    large = F.broadcast(large)  # fewer than HOT_SHARE rows
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("doc_id", "at"), F.lit(SALTS))).otherwise(0).cast("int")
+    rows = rows.withColumn("at", F.monotonically_increasing_id()).join(large, "cls", "left").withColumn("salt", salt).drop("salts", "at")
+    named = named.join(large, "cls", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("salts")
+    return rows.join(named, ["cls", "salt"], "left")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.session import table
 
