@@ -14,16 +14,21 @@ Labels say only toxic or not. The grades of toxic training texts are set by how
 many of their distinct words carry a feature that is tied to the toxic label in
 the same sample: 1 (few), 2, 3 (many), cut at ``GRADE_CUTS``.
 
-The model is fitted on a bounded sample of labelled rows: at most ``max_rows`` of
+The model is fitted on a bounded sample of labelled rows: at most ``max_rows`` ids of
 each label, by the hash of the id. Copies of one text would make its own words
 look toxic or clean, so texts with the same smallest word hashes share one vote.
-Features are screened by the z-score of their two shares of these votes (``MIN_Z``), so the
-model has at most ``MAX_FEATURES`` weights and is broadcast. Weights are kept at
-or above 0 and shrunk by ``L1``: no amount of clean text excuses an insult.
+Features are counted and screened by a grouped aggregation, by the z-score of their two
+shares of these votes (``MIN_Z``); a feature needs ``MIN_VOTES`` votes of toxic texts, so
+the sample bounds the weights, which are broadcast. Only the screened features of each
+sampled text reach the driver. Weights are kept at or above 0 and shrunk by ``L1``: no
+amount of clean text excuses an insult.
 
 Defined cases: null or empty texts have no features and get the score of a text
 without any; labels that match no text, null labels and repeated label rows (the
-largest label wins) are allowed; without toxic labels every text is grade 0.
+largest label wins) are allowed; without toxic labels every text is grade 0; repeated
+documents are scored each and share one vote; of equally probable grades the lower is
+taken; very long texts are one row of a batch; other columns are ignored, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +36,6 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,12 +45,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.words import WordHash, chunks
+from quire.session import written
 
 GRADES = 4
 GRADE_CUTS = (3, 6)
 PREFIXES = (4, 5, 6)
 MAX_ROWS = 4000
-MAX_FEATURES = 5000
 MIN_Z = 5.0
 MIN_VOTES = 3.0
 SKETCH = 4
@@ -83,7 +87,7 @@ def _sigmoid(x):
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: str = "text") -> DataFrame:
-    """(toxic, n, words) for at most ``max_rows`` rows of each label.
+    """(doc_id, toxic, n, vote, words) for at most ``max_rows`` ids of each label.
 
     ``n`` is how many labelled rows there are of that label. The ids of the sample
     are at most 2 * max_rows, so they can be broadcast to the texts.
@@ -97,86 +101,74 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: s
     ]
     ids = parts[0].unionByName(parts[1])
     slim = docs.select("doc_id", F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    return slim.mapInArrow(_distinct_words, "doc_id bigint, toxic int, n bigint, words array<string>")
+    found = written(slim.mapInArrow(_distinct_words, "doc_id bigint, toxic int, n bigint, sketch binary, words array<string>"), "toxicity-sample")
+    votes = found.groupBy("toxic", "sketch").agg((1 / F.count("*")).alias("vote"))
+    return found.join(votes, ["toxic", "sketch"]).select("doc_id", "toxic", "n", "vote", "words")
 
 
 def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHash()
     for batch in chunks(batches, "text"):
         get = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: B023, E731
         words = [sorted(words_of(t)) for t in get("text").to_pylist()]
+        # Texts without words are told apart by their id.
+        sketch = [repr(heapq.nsmallest(SKETCH, map(hashes.__getitem__, w)) or d).encode() for w, d in zip(words, get("doc_id").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [get("doc_id"), get("toxic"), get("n"), pa.array(words, pa.list_(pa.string()))], ["doc_id", "toxic", "n", "words"]
+            [get("doc_id"), get("toxic"), get("n"), pa.array(sketch, pa.binary()), pa.array(words, pa.list_(pa.string()))],
+            ["doc_id", "toxic", "n", "sketch", "words"],
         )
 
 
-class _WordSets:
-    """The word sets of an Arrow list column, made one at a time."""
-
-    def __init__(self, column: pa.ChunkedArray):
-        self.column = column
+def _text_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, vote, feature) for each distinct feature of each text."""
+    for batch in batches:
+        for toxic, vote, words in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("toxic", "vote", "words")), strict=True):
+            found = sorted({f for w in words for f in features_of(w)})
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array([toxic] * n, pa.int32()), pa.array([vote] * n, pa.float64()), pa.array(found, pa.string())], ["toxic", "vote", "feature"])
 
-    def __len__(self) -> int:
-        return len(self.column)
 
-    def __iter__(self) -> Iterator[set[str]]:
-        return (set(x.as_py()) for x in self.column)
+def screened(rows: DataFrame, n1: float, n0: float) -> list[str]:
+    """Features tied to the toxic label, in order of their names; ``n1``, ``n0``: votes of toxic and clean texts."""
+    each = rows.select("toxic", "vote", "words").mapInArrow(_text_features, "toxic int, vote double, feature string")
+    share = lambda y: F.sum(F.when(F.col("toxic") == y, F.col("vote")).otherwise(0.0))
+    counted = each.groupBy("feature").agg(share(1).alias("a"), share(0).alias("b")).where(F.col("a") >= MIN_VOTES - 1e-9)
+    clean = max(n0, 1.0)
+    p = (F.col("a") + F.col("b")) / (n1 + n0)
+    z = (F.col("a") / n1 - F.col("b") / clean) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-12)) * (1 / n1 + 1 / clean))
+    return sorted(r.feature for r in counted.where(z >= MIN_Z).select("feature").collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: str = "text") -> Model:
-    """Fit on the bounded sample; at most 2 * max_rows word lists reach the driver, as Arrow columns."""
-    got = sample(docs, labels, max_rows, text).toArrow().sort_by("doc_id")
-    toxic = got["toxic"].to_numpy().astype(np.int64)
-    return fit_rows(_WordSets(got["words"]), toxic, got["n"].to_numpy().astype(np.float64))
-
-
-def fit_rows(rows, toxic: np.ndarray, totals: np.ndarray | None = None) -> Model:
-    """Fit on word sets (iterated several times) and 0/1 labels; ``totals``: rows of the label that each stands for."""
-    if not len(rows) or not toxic.any():
-        return Model(rows=len(rows))
-    votes = _votes(rows, toxic)
-    n1, n0 = votes[toxic > 0].sum(), votes[toxic == 0].sum()
-    found: dict[str, float] = {}
-    for words, y, vote in zip(rows, toxic, votes, strict=True):
-        if y:
-            for f in {f for w in words for f in features_of(w)}:
-                found[f] = found.get(f, 0.0) + vote
-    found = {f: a for f, a in found.items() if a >= MIN_VOTES}
-    clean = dict.fromkeys(found, 0.0)
-    for words, y, vote in zip(rows, toxic, votes, strict=True):
-        if not y:
-            for f in {f for w in words for f in features_of(w) if f in clean}:
-                clean[f] += vote
-    kept: dict[str, float] = {}
-    for f, a in found.items():
-        b = clean[f]
-        p = (a + b) / (n1 + n0)
-        z = (a / n1 - b / max(n0, 1.0)) / math.sqrt(max(p * (1 - p), 1e-12) * (1 / n1 + 1 / max(n0, 1.0)))
-        if z >= MIN_Z:
-            kept[f] = z
-    names = sorted(kept, key=lambda f: (-kept[f], f))[:MAX_FEATURES]
-    index = {f: i for i, f in enumerate(names)}
+    """Fit on the bounded sample."""
+    rows = sample(docs, labels, max_rows, text)
+    sums = {r.toxic: r for r in rows.groupBy("toxic").agg(F.sum("vote").alias("votes"), F.count("*").alias("rows")).collect()}
+    n = sum(r.rows for r in sums.values())
+    if 1 not in sums:
+        return Model(rows=n)
+    n1, n0 = sums[1].votes, sums[0].votes if 0 in sums else 0.0
+    names = screened(rows, n1, n0)
     if not names:
-        return Model(rows=len(rows))
-    r, c, tied = [], [], np.zeros(len(rows), np.int64)
-    for i, words in enumerate(rows):
-        for w in sorted(words):
-            hits = [index[f] for f in features_of(w) if f in index]
-            tied[i] += bool(hits)
-            r += [i] * len(hits)
-            c += hits
-    row, col = np.array(r, np.int64), np.array(c, np.int64)
+        return Model(rows=n)
+    index = {f: i for i, f in enumerate(names)}
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's screened features, once for each word that has them, and how many words have one."""
+        for batch in batches:
+            found = [[[index[f] for f in features_of(w) if f in index] for w in words] for words in batch.column(batch.schema.get_field_index("words")).to_pylist()]
+            flat, tied = [[i for x in t for i in x] for t in found], [sum(map(bool, t)) for t in found]
+            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "toxic", "n", "vote")]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(flat, pa.list_(pa.int32())), pa.array(tied, pa.int32())], ["doc_id", "toxic", "n", "vote", "features", "tied"])
+
+    kinds = "doc_id bigint, toxic int, n bigint, vote double, features array<int>, tied int"
+    got = rows.mapInArrow(hits, kinds).toArrow().sort_by([("doc_id", "ascending"), ("tied", "ascending")]).combine_chunks()
+    toxic, tied, vote = (got[c].to_numpy() for c in ("toxic", "tied", "vote"))
+    lists = got["features"].combine_chunks()
+    row, col = np.repeat(np.arange(len(toxic)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy().astype(np.int64)
     grade = np.where(toxic > 0, 1 + np.searchsorted(GRADE_CUTS, tied, side="right"), 0)
-    stands = votes * (1.0 if totals is None else totals / np.where(toxic > 0, n1, max(n0, 1)))
+    stands = vote * got["n"].to_numpy() / np.where(toxic > 0, n1, max(n0, 1.0))  # rows of the label that each stands for
     w, t = _descend(row, col, grade, stands / stands.sum(), len(names))
-    return Model({f: float(w[i]) for f, i in index.items() if w[i] != 0}, tuple(map(float, t)), len(rows))
-
-
-def _votes(rows, toxic: np.ndarray) -> np.ndarray:
-    """1 / (rows of the label whose ``SKETCH`` smallest word hashes are the same)."""
-    hashes = WordHash()
-    keys = [(int(y), tuple(heapq.nsmallest(SKETCH, map(hashes.__getitem__, words))) or -i) for i, (words, y) in enumerate(zip(rows, toxic, strict=True))]
-    sizes = Counter(keys)
-    return np.array([1.0 / sizes[k] for k in keys])
+    return Model({f: float(w[i]) for f, i in index.items() if w[i] != 0}, tuple(map(float, t)), n)
 
 
 def _descend(row, col, grade, weight, n_features, rounds: int = 800):
