@@ -3,6 +3,12 @@
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame. Each result is written as a table and read again as the next
 stage's documents. All stages but the last return the columns of ``documents``.
+
+Defined cases of every stage: null and repeated ids are rows like others; a null or empty
+text isn't toxic, fails the quality rules, is near nothing, holds no passage and has size
+0; very long texts are worked off whole; columns beyond those of ``documents`` are left
+out; an empty table gives an empty table. Without labels no text is toxic, and without a
+benchmark none is contaminated.
 """
 
 from __future__ import annotations
@@ -30,32 +36,29 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates (equal rows leave one).
+    """The document with the smallest id of each group of near-duplicates.
 
-    Rows are told apart by a hash of all their columns, so ids may be null or stand on
-    several texts; a null id comes after all others.
+    Rows carry a key of their own, so ids may be null or stand on several texts: of rows
+    that repeat one stays, a null id comes after all others, and documents without words
+    are linked with nothing and stay.
     """
-    key = F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
-    keyed = docs.withColumn("row_key", key)
+    keyed = written(docs.withColumn("row_key", F.monotonically_increasing_id()), "pipeline-keyed")
     found = jaccard_join.similar(keyed, doc_id="row_key").select(F.col("doc_id").alias("row_key"), "component_id")
-    named = found.join(keyed.select("row_key", "doc_id").distinct(), "row_key")
+    named = found.join(keyed.select("row_key", "doc_id"), "row_key")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("m")).select("m.row_key")
-    kept = keyed.join(first, "row_key", "left_semi")
-    again = kept.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1")
-    if again.limit(1).count():  # rows that repeat
-        kept = kept.dropDuplicates(["row_key"])
-    return kept.select(*COLUMNS)
+    return keyed.join(first, "row_key", "left_semi").select(*COLUMNS)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark.
 
-    One item's passage is enough to leak its answer: a document goes if windows of any item
-    cover at least a whole window's words. Items shorter than a window can stand in clean
-    text by chance, so alone they reject only documents that they cover that far.
+    One item's passage is enough to leak its answer: a document goes if windows of any item,
+    with or without an id, cover at least a whole window's words. Items shorter than a window
+    can stand in clean text by chance, so alone they reject only documents that they cover
+    that far.
     """
     out = winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(COLUMNS))
-    return out.where(f"NOT (n_items >= 1 AND n_hit >= {winnowing.WINDOW})").select(*COLUMNS)
+    return out.where(F.col("n_hit") < winnowing.WINDOW).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
