@@ -78,13 +78,18 @@ def test_similarity_join(spark, seed):
     assert got == brute_components(rows)
 
 
-def test_similarity_join_hot_buckets(spark):
-    """Buckets that are split into parts find the same components."""
+def test_similarity_join_hot_buckets(spark, monkeypatch):
+    """Buckets that are split into parts and blocks find the same components; columns may clash."""
+    monkeypatch.setattr(jaccard_join, "REST_MEMBERS", 3)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", 8)
+    monkeypatch.setattr(jaccard_join, "SALTS", 2)
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(60)]
     base = rng.choices(vocabulary, k=60)
-    rows = [(i, " ".join(edited(rng, base, rng.randint(0, 4), vocabulary))) for i in range(60)]
-    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], DOCS)
+    rows = [(i, " ".join(edited(rng, base, rng.randint(0, 9), vocabulary))) for i in range(60)]
+    rows += [(100 + i, " ".join(base)) for i in range(40)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], DOCS).selectExpr("*", "1 AS cls", "2 AS n", "3 AS fragment", "4 AS root")
     got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar(docs, hot=4).collect())
     assert got == brute_components(rows)
 
@@ -97,6 +102,31 @@ def test_components_by_steps(spark):
     assert rows(0) == rows(1000) and (40, 0) in rows(0) and (205, 200) in rows(0)
 
 
+@pytest.mark.parametrize("block", [1, 3, 500])
+def test_blocks_of_a_bucket_meet_once(spark, monkeypatch, block):
+    """All pairs of a bucket whose sizes may link meet, each once, whatever the blocks."""
+    monkeypatch.setattr(jaccard_join, "REST_MEMBERS", block)
+    n = {c: 20 + (c * 7) % 60 for c in range(40)}
+    found = spark.createDataFrame([(1, 40, c, n[c], 0, n[0], n[c], n[0]) for c in n], "bucket long, size long, cls long, n long, rep long, rep_n long, spare long, rep_spare long")
+    roots = spark.createDataFrame([], "node long, root long")
+    checked = spark.createDataFrame([], "a long, b long, linked boolean, near double, far double, o long")
+    parts = spark.createDataFrame([(c, jaccard_join.SKETCH, [0] * 16) for c in n], "cls long, f int, shingles array<bigint>")
+    got = Counter((r.a, r.b) for r in jaccard_join.rest_pairs(found, roots, checked, parts).collect())
+    want = {(a, b) for a in n for b in n if a < b and 4 * min(n[a], n[b]) >= 3 * max(n[a], n[b])}
+    assert got == Counter(want)
+
+
+def test_levels_of_very_common_shingles():
+    """Counts far beyond 2**15 keep their level, and with it the number of their parts."""
+    import numpy as np
+    import pyarrow as pa
+
+    low = np.array([7, 9], np.uint32)
+    rows = [(0, low.tobytes(), np.array([1 << 16, 1], np.uint32).tobytes())] * 32
+    out = jaccard_join._levels()(pa.table({c: pa.array(v, k) for c, v, k in zip(("part", "low", "counts"), zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)}))
+    assert sorted(np.frombuffer(out["levels"][0].as_py(), np.uint8).tolist()) == [5, 21]
+
+
 def test_similarity_join_of_nothing(spark):
     assert jaccard_join.similar(spark.createDataFrame([], DOCS)).count() == 0
     one = jaccard_join.similar(spark.createDataFrame([(None, "a b c d e f", "", "", 0), (None, "a b c d e f", "", "", 0)], DOCS)).collect()
@@ -147,7 +177,7 @@ def test_mixing(spark):
 def test_mix_schedule_is_even(spark):
     """Any stretch of the schedule is close to the target shares."""
     rows = [(i, "w " * 50, "en", "abc"[i % 3], 0) for i in range(60)]
-    out = mixing.pieces(spark.createDataFrame(rows, DOCS)).where("slot IS NOT NULL").collect()
+    out = mixing.pieces(spark.createDataFrame(rows, DOCS), block=1).where("slot IS NOT NULL").collect()
     order = sorted({(r.slot, r.source) for r in out})
     target = {r.source: r.target for r in out}
     total = sum(target.values())
@@ -157,34 +187,49 @@ def test_mix_schedule_is_even(spark):
             assert abs(seen[s] - 500 * t / total) <= 12
 
 
+def test_many_sources_in_ranges(spark, monkeypatch):
+    """Numbers, cuts and cumulative targets over several ranges of sources; columns that clash."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(0, 60), "x", f"host{rng.randint(0, 150)}", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS size", "2 AS row", "3 AS key", "4 AS target", "5 AS p")
+    sizes, taken = defaultdict(int), Counter()
+    for _, t, _, s, _ in rows:
+        sizes[s] += len(t.split())
+    want = brute_targets(sizes)
+    for r in mixing.mix(docs).collect():
+        assert r.target == pytest.approx(want[r.source]) and 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    assert all(want[s] - 1.001 <= taken[s] <= want[s] + 0.001 for s in sizes)
+
+
 @pytest.mark.parametrize("n", [1_000_000, 4_000_000])
 def test_schedule_of_millions_of_slots_is_even(spark, n):
     """Largest gap and star discrepancy, in slots."""
     import numpy as np
 
     i = spark.range(n)
-    u = np.sort(i.select(mixing.point(i.id, n).alias("u")).toArrow()["u"].to_numpy())
+    u = np.sort(i.select(mixing.point(i.id).alias("u")).toArrow()["u"].to_numpy())
     assert 0 <= u[0] and u[-1] < 1
     assert np.diff(u).max() * n < 1.7
     at = np.arange(n)
     assert max((u * n - at).max(), (at + 1 - u * n).max()) < 5
 
 
-def test_small_sources_reach_their_targets_in_large_blocks(spark, monkeypatch):
-    """Blocks of 2,048 words, and sources of 100 to 10,000 words beside a large one."""
-    monkeypatch.setattr(mixing, "SLOTS", 64)
+@pytest.mark.parametrize("block", [1, mixing.BLOCK, 5000])
+def test_small_sources_reach_their_targets(spark, block):
+    """Sources of 100 to 10,000 words beside a large one."""
     small = {"a": 100, "c": 300, "e": 1000, "g": 2000, "i": 5000, "k": 10_000}
     rows = [(i, "w " * 5000, "en", "big", 0) for i in range(80)]
     rows += [(1000 + i, "w " * (n // 4), "en", s, 0) for s, n in small.items() for i in range(4)]
-    out = mixing.pieces(spark.createDataFrame(rows, DOCS)).collect()
+    out = mixing.pieces(spark.createDataFrame(rows, DOCS), block=block).collect()
     taken, target = Counter(), {r.source: r.target for r in out}
     for r in out:
         if r.slot is not None:
             taken[r.source] += r.hi - r.lo
-            assert 0 <= r.slot < math.ceil(sum(target.values()) / mixing.BLOCK)
-    assert sum(target.values()) // 64 > mixing.BLOCK
+            assert 0 <= r.slot < math.ceil(sum(target.values()) / block)
     for s in small:
-        assert 0 <= target[s] - taken[s] < 1 + target[s] / 1000, s
+        assert taken[s] == math.floor(target[s]), s
     assert max(Counter((r.row, r.slot, r.lo, r.hi) for r in out).values()) <= mixing.MOST
 
 
@@ -220,21 +265,151 @@ def test_language_model(spark):
     assert odd and sum(odd) / len(odd) > 1.5 * sum(normal) / len(normal)
 
 
-def test_probabilities_of_words_sum_to_at_most_one():
-    """All words of one and two letters together, under the trained tables."""
+CORPUS = "the cat sat on the mat. a dog sat by the cat and the dog ran. le chat est sur le tapis et le chien court."
+
+
+def corpus_of(rng, n, start=0):
+    words = CORPUS.split()
+    rows = []
+    for i in range(start, start + n):
+        at = [rng.randrange(len(words))]
+        for _ in range(rng.randint(3, 60)):
+            at.append((at[-1] + 1) % len(words) if rng.random() < 0.9 else rng.randrange(len(words)))
+        text = [words[k] for k in at] + ["q" + "".join(rng.choices("abc", k=3)) for _ in range(rng.randint(0, 2))]
+        rows.append((i, " ".join(text), "en", "s", 0))
+    return rows
+
+
+def test_codes_are_a_prefix_code():
     import numpy as np
-    import pyarrow as pa
 
-    code = context_mixing.Code(np.array([1000 if chr(i) in "ab " else 1 for i in range(256)]))
-    batch = pa.RecordBatch.from_arrays([pa.array([b"a", b"ab", b"b", b""], pa.binary()), pa.array([50, 30, 20, 10], pa.int64())], ["word", "n_train"])
-    tables = np.zeros((2, context_mixing.BASE[-1]), np.float16)
-    for b in context_mixing._count_bits(code)(iter([batch])):
-        for c, x in zip(b["chunk"].to_pylist(), b["counts"].to_pylist(), strict=True):
-            tables[:, c * context_mixing.CHUNK : (c + 1) * context_mixing.CHUNK] = np.frombuffer(zlib.decompress(x), np.float32).reshape(2, -1)
-    mixer = context_mixing.Mixer(tables)
-    words = [b"", *(bytes([i]) for i in range(256) if i != 32), *(bytes([i, j]) for i in b"abc" for j in b"abcxyz")]
-    p = 2.0 ** mixer.log2(context_mixing.Bits(words, code), len(words))
-    assert p.sum() <= 1 + 1e-6 and p[words.index(b"a")] > 0.2
+    rng = random.Random(1)
+    count = np.array([rng.choice([2, 3, 5, 1000, 70_000]) for _ in range(300)] + [1])
+    place = np.cumsum(count) - count
+    total = int(count.sum())
+    codes = context_mixing.codes_of(place, count, total)
+    spelled = []
+    for c, n, at in zip(codes.tolist(), count.tolist(), place.tolist(), strict=True):
+        length = c & 63
+        assert 2 ** (length - 1) * n >= total and (length == 1 or 2 ** (length - 2) * n < total)
+        assert c >> 6 == (2 * at + n) * 2**length // (2 * total)
+        spelled.append(format(c >> 6, f"0{length}b"))
+    spelled.sort()
+    assert not any(b.startswith(a) for a, b in zip(spelled, spelled[1:], strict=False))
+
+
+def test_scores_against_a_plain_bit_model(spark, monkeypatch):
+    """The same bits, contexts without hashing, counts in dictionaries and one bit at a time; weights are taken as learned."""
+    import numpy as np
+
+    monkeypatch.setattr(context_mixing, "WORD_BITS", (22,) * 5)
+    monkeypatch.setattr(context_mixing, "BYTE_BITS", (22,) * 6)
+    monkeypatch.setattr(context_mixing.Shape, "__init__", wide(context_mixing.Shape.__init__))
+    rows = corpus_of(random.Random(3), 120) + [(900, None, "", "", 0), (901, "zzzzz zzzzz zzzzz", "", "", 0)]
+    coded, book = context_mixing.code_texts(spark.createDataFrame(rows, DOCS))
+    shape, shared, learned = context_mixing.train(coded, book.tokens, book.escape)
+    model = context_mixing.Model(shape, shared.value)
+    for mixer, values in zip(model.mixers, learned, strict=True):
+        mixer.learned(values)
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    got = {r.doc_id: r for r in coded.collect()}
+    code_of = {}
+    for d, t, *_ in rows:  # the code book as the texts show it
+        for w, v in zip(tokens(t), np.frombuffer(got[d].codes, np.uint64).tolist(), strict=True):
+            assert code_of.setdefault(w, v) == v
+    escape = int(book.escape)
+    train = Counter(w for d, t, *_ in rows if not held(d) for w in tokens(t))
+    assert all((code_of[w] == escape) == (train[w] < 2) for w in code_of)
+
+    def events(text):
+        """(token, kind, bit, contexts, depth) of every bit."""
+        before, two, frequent = None, None, None
+        for i, w in enumerate(tokens(text)):
+            v = code_of[w]
+            bits = format(v >> 6, f"0{v & 63}b")
+            tail = before[-3:] if before is not None else None
+            for k, b in enumerate(bits):
+                node = bits[:k]
+                yield i, 0, int(b), [node, (before, node), (before, two, node), (tail, node), (frequent, node)], (k >= 5) + (k >= 13)
+            if v == escape:
+                data = w.encode() + b" "
+                for j, byte in enumerate(data):
+                    at, n = int(shape.code.start[byte]), int(shape.code.length[byte])
+                    crossing = (data[:j], tail)
+                    last = lambda k: ("in", data[j - k : j]) if j >= k else crossing  # noqa: B023, E731
+                    for k in range(n):
+                        node = int(shape.code.node[at + k])
+                        yield i, 1, int(shape.code.bit[at + k]), [*((k2, last(k2), node) for k2 in range(1, 5)), (data[:j], node), (frequent, last(2), node)], int(k > 0)
+            before, two = w, before
+            if (v & 63) <= context_mixing.FREQUENT:
+                frequent = w
+
+    counts = defaultdict(lambda: [0, 0])
+    for d, t, *_ in rows:
+        if not held(d):
+            for _, kind, bit, contexts, _ in events(t):
+                for i, c in enumerate(contexts):
+                    counts[kind, i, c][bit] += 1
+    edges = lambda n, cuts: sum(n >= c for c in cuts)
+    for r in context_mixing.score_texts(spark.createDataFrame(rows, DOCS)).collect():
+        text = next(t for d, t, *_ in rows if d == r.doc_id)
+        each = [0.0] * len(tokens(text))
+        for i, kind, bit, contexts, depth in events(text):
+            n = [counts.get((kind, j, c), (0, 0)) for j, c in enumerate(contexts)]
+            seen = list(map(sum, n))
+            if kind:
+                gate = (edges(seen[4], (0.5, 3.5, 31.5)) * 3 + edges(seen[3], (0.5, 7.5))) * 2 + depth
+            else:
+                gate = (edges(seen[1], (0.5, 7.5, 63.5)) * 3 + edges(seen[2], (0.5, 7.5))) * 3 + depth
+            mixer = model.mixers[kind]
+            z = sum(float(w) * x for w, x in zip(mixer.weights[gate], [*(math.log((b + 0.15) / (a + 0.15)) for a, b in n), 0.3], strict=True))
+            z = max(-14.0, min(14.0, z))
+            u = (max(-7.999, min(7.999, z)) + 8) * 2
+            lo, part = int(u), u - int(u)
+            curve = mixer.refine[gate * context_mixing.BINS :]
+            z = 0.5 * z + 0.5 * (curve[lo] * (1 - part) + curve[lo + 1] * part)
+            each[i] -= math.log1p(math.exp(-z if bit else z))
+        assert r.score == pytest.approx(brute_adapted(each, tokens(text)) / math.log(10), rel=2e-3, abs=2e-3), r.doc_id
+
+
+def wide(old):
+    def init(self, tokens, escape, code):
+        old(self, 1 << 21, escape, code)
+
+    return init
+
+
+def brute_adapted(log_p, words):
+    """Two caches, each a running Bayesian mixture over its strengths."""
+    for strengths, context in ((context_mixing.STRENGTHS, False), (context_mixing.AFTER, True)):
+        total, out, seen, places = [0.0] * len(strengths), [], Counter(), Counter()
+        for i, w in enumerate(words):
+            key = (words[i - 1] if i else None) if context else None
+            before = [math.fsum(map(math.exp, (x - max(total) for x in total))), max(total)]
+            total = [x + math.log((seen[key, w] + a * math.exp(log_p[i])) / (places[key] + a)) for x, a in zip(total, strengths, strict=True)]
+            after = [math.fsum(map(math.exp, (x - max(total) for x in total))), max(total)]
+            out.append(math.log(after[0]) + after[1] - math.log(before[0]) - before[1])
+            seen[key, w] += 1
+            places[key] += 1
+        log_p = out
+    return sum(log_p)
+
+
+def test_order_matters_and_columns_may_clash(spark):
+    """Shuffled held-out texts score lower than the texts; other columns don't matter."""
+    rng = random.Random(8)
+    rows = corpus_of(rng, 400)
+    held = [r for r in corpus_of(rng, 200, 1000) if zlib.crc32(str(r[0]).encode()) % 7 == 2]
+    shuffled = []
+    for d, t, *rest in held:
+        d2 = next(x for x in range(100_000 * d, 100_000 * d + 100) if zlib.crc32(str(x).encode()) % 7 == 2)
+        words = t.split()
+        rng.shuffle(words)
+        shuffled.append((d2, " ".join(words), *rest))
+    docs = spark.createDataFrame(rows + held + shuffled, DOCS)
+    score = {r.doc_id: r.score for r in context_mixing.score_texts(docs.selectExpr("*", "1 AS block", "2 AS part", "'x' AS codes")).collect()}
+    assert sum(score[s[0]] for s in shuffled) < 1.2 * sum(score[h[0]] for h in held)
+    assert sum(score[h[0]] > score[s[0]] for h, s in zip(held, shuffled, strict=True)) > 0.9 * len(held)
 
 
 def test_empty_corpus(spark):

@@ -147,3 +147,144 @@ def test_site_quality_shrinks_sparse_sites(spark):
     assert site_quality.classify(frame(spark, []), labels).count() == 0
     blank = site_quality.classify(frame(spark, ["a"]), labels.where("doc_id < 0")).select(F.round("p_doc", 6)).first()[0]
     assert blank == 0.5
+
+
+def test_decontamination_of_a_window_in_very_many_items(spark):
+    """A window that stands in thousands of items, a long text, clashing columns; both ways agree."""
+    common = " ".join(f"c{i}" for i in range(8))
+    items = spark.createDataFrame([(i, f"own{i} {common}") for i in range(3000)] + [(None, common)], "item_id long, text string")
+    texts = [common, "x " * 40_000 + common, "nothing here", common + " " + common]
+    docs = frame(spark, texts).selectExpr("*", "1 AS row", "2 AS window", "3 AS n_hit", "4 AS places")
+    for small in (10, 100_000):
+        got = {r.doc_id: r for r in winnowing.decontaminate(docs, items, small_windows=small).collect()}
+        assert [(got[i].n_items, got[i].n_hit) for i in range(4)] == [(3000, 8), (3000, 8), (0, 0), (3000, 16)]
+        assert got[0].items_sha256 == hashlib.sha256(",".join(sorted(map(str, range(3000)))).encode()).hexdigest()
+
+
+def test_quality_of_repeated_rows_and_null_ids(spark):
+    rows = [(None, "a b c", "en", "s", 0, "x"), (None, "a b c", "en", "s", 0, "x"), (1, "w " * 200_000, "en", "s", 0, "x")]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_repeat_words) for r in quality_rules.ledger(spark.createDataFrame(rows, DOCS).withColumn("n_words", F.lit(5))).collect())
+    assert got == [(0, 3, 0), (0, 3, 0), (1, 200_000, 200_000)]
+
+
+def toxic_corpus(n=300):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(200)]
+    rows = []
+    for i in range(n):
+        words = rng.choices(vocabulary, k=rng.randint(5, 40)) + (["zqvile", "zqbad" + rng.choice(["", "ly"])] if i % 3 == 0 else [])
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    return rows + [(1000 + k, rows[0][1], 1) for k in range(5)]
+
+
+def test_toxicity_screening_against_brute_force(spark):
+    rows = toxic_corpus()
+    docs = spark.createDataFrame([(d, t, "en", "s", 0, "") for d, t, _ in rows], DOCS).selectExpr("*", "1 AS toxic", "2 AS n", "3 AS words")
+    labels = spark.createDataFrame([(d, 1, y) for d, _, y in rows], "doc_id long, quality int, toxic int")
+    sampled = toxicity.sample(docs, labels)
+    vote = {r.doc_id: r.vote for r in sampled.collect()}
+    assert vote[0] == pytest.approx(1 / 6) and vote[1000] == pytest.approx(1 / 6) and vote[1] == 1
+    n1, n0 = (sum(vote[d] for d, _, y in rows if y == k) for k in (1, 0))
+    share = lambda f, k: sum(vote[d] for d, t, y in rows if y == k and any(f in toxicity.features_of(w) for w in t.split()))
+    want = []
+    for f in {f for _, t, _ in rows for w in t.split() for f in toxicity.features_of(w)}:
+        a, b = share(f, 1), share(f, 0)
+        p = (a + b) / (n1 + n0)
+        if a >= toxicity.MIN_VOTES - 1e-9 and (a / n1 - b / n0) / (p * (1 - p) * (1 / n1 + 1 / n0)) ** 0.5 >= toxicity.MIN_Z:
+            want.append(f)
+    assert toxicity.screened(sampled, n1, n0) == sorted(want) and "zqvile$" in want
+
+
+def test_toxicity_likelihood_by_differences():
+    """The fit is where no small change of a weight or threshold raises the likelihood."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    n, k = 400, 3
+    x = rng.integers(0, 3, (n, k))
+    grade = np.clip((x[:, 0] + rng.integers(0, 2, n)), 0, 3)
+    row, col = np.repeat(np.arange(n), x.sum(1)), np.concatenate([np.repeat(np.arange(k), r) for r in x])
+    w, t = toxicity._descend(row, col, grade, np.full(n, 1 / n), k, rounds=4000)
+
+    def likelihood(w, t):
+        cut = [-math.inf, *t, math.inf]
+        s = lambda z: 1 / (1 + math.exp(-z)) if abs(z) < 700 else float(z > 0)
+        return sum(math.log(s(e - cut[g]) - s(e - cut[g + 1])) for e, g in zip(x @ w, grade, strict=True)) / n
+
+    best = likelihood(w, t)
+    assert list(t) == sorted(t) and w[0] > 0.5
+    for i in range(k):
+        for step in (0.05, -0.05):
+            if w[i] + step >= 0:
+                moved = w.copy()
+                moved[i] += step
+                assert likelihood(moved, t) < best + 1e-4
+    for i in range(3):
+        for step in (0.05, -0.05):
+            moved = t.copy()
+            moved[i] += step
+            assert likelihood(w, moved) < best + 1e-4
+
+
+def test_toxicity_of_ties_long_texts_and_nothing(spark):
+    model = toxicity.Model({"bad$": 3.0}, (1.0, 2.0, 3.0), 1)
+    docs = frame(spark, ["bad", "bad", "x " * 300_000 + "bad", None]).selectExpr("*", "1 AS severity", "2 AS p_toxic")
+    got = toxicity.score(docs, model).orderBy("doc_id").collect()
+    assert got[0][1:] == got[1][1:] == got[2][1:] and got[3].severity == 0
+    p = [1 / (1 + 2.718281828459045 ** (t - 3.0)) for t in model.thresholds]
+    assert got[0].p_toxic == pytest.approx(p[0]) and got[0].expected_severity == pytest.approx(sum(p))
+    assert toxicity.score(frame(spark, []), model).count() == 0
+
+
+def test_site_posteriors_against_brute_force(spark):
+    """Group posteriors recomputed from the documents' own probabilities; repeated rows and null sites count."""
+    rng = random.Random(2)
+    text = lambda good: " ".join(rng.choices("plain words of some text here".split(), k=30)) if good else "BUY!! NOW!! " * rng.randint(5, 12)
+    rows = [(i, text(rng.random() < (0.9 if i % 5 else 0.2)), ["en", "de", None][i % 3], [f"h{i % 5}", None][i % 7 == 6], 0, "k") for i in range(300)]
+    rows += [rows[3], rows[3]]
+    labels = spark.createDataFrame([(d, int(not t.startswith("BUY")), 0) for d, t, *_ in rows[:150]], "doc_id long, quality int, toxic int")
+    got = site_quality.classify(spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS host", "2 AS path", "3 AS total"), labels).collect()
+    assert len(got) == 302
+    groups = lambda key: {k: [r.p_doc for r in got if key(r) == k] for k in {key(r) for r in got}}
+    hosts, paths = groups(lambda r: r.host), groups(lambda r: (r.host, r.path))
+    mean = sum(r.p_doc for r in got) / len(got)
+
+    def strength(gs):
+        n, sizes = sum(map(len, gs)), [len(g) for g in gs]
+        ss = sum(len(g) * (sum(g) / len(g) - mean) ** 2 for g in gs)
+        between = (ss - (len(gs) - 1) * mean * (1 - mean)) / (n - sum(x * x for x in sizes) / n)
+        return min(1000.0, max(2.0, mean * (1 - mean) / between - 1)) if between > 0 else 1000.0
+
+    sh, sp = strength(list(hosts.values())), strength(list(paths.values()))
+    host_q = {h: (sum(g) + sh * mean) / (len(g) + sh) for h, g in hosts.items()}
+    for r in got:
+        g = paths[r.host, r.path]
+        assert r.host_quality == pytest.approx(host_q[r.host])
+        assert r.path_quality == pytest.approx((sum(g) + sp * host_q[r.host]) / (len(g) + sp))
+    import math
+
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for r in got:
+        assert r.p_good == pytest.approx(1 / (1 + math.exp(-(logit(r.p_doc) + 0.5 * (logit(r.path_quality) - logit(mean))))))
+
+
+def test_the_hierarchy_lowers_held_out_loss(spark):
+    """Where the text says little, its site says more: log loss on rows that the fit hasn't seen."""
+    import math
+
+    rng = random.Random(12)
+    rows, labels, truth = [], [], {}
+    for i in range(1500):
+        host = f"h{i % 30}"
+        good = rng.random() < (0.92 if i % 30 < 15 else 0.08)
+        shouts = sum(rng.random() < (0.35 if good else 0.65) for _ in range(4))  # weak evidence
+        rows.append((i, " ".join(["plain", "words", "of", "text"] * 6 + ["LOUD!!"] * shouts), "en", host, 0, ""))
+        truth[i] = good
+        if i < 500:
+            labels.append((i, int(good), 0))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = [r for r in site_quality.classify(spark.createDataFrame(rows, DOCS), lab).collect() if r.doc_id >= 500]
+    loss = lambda c: -sum(math.log(r[c] if truth[r.doc_id] else 1 - r[c]) for r in got) / len(got)
+    assert loss("p_good") < loss("p_doc") - 0.02
