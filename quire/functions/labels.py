@@ -10,6 +10,8 @@ ROMAN = (
     (1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"),
 )
 LARGEST = 2147483647
+#: No numeral of more letters is canonical up to LARGEST thousands worth writing; the same bound in both label parsers.
+LONGEST = 64
 
 
 def roman(n: Column) -> Column:
@@ -39,7 +41,7 @@ def parse_label(c: Column) -> Column:
     digits = F.regexp_extract(c, r"^0*([0-9]{1,10})$", 1)
     number = F.when((digits != "") & (digits.cast("bigint") <= LARGEST), digits.cast("bigint"))
     low = F.lower(c)
-    letters = c.rlike(r"^([ivxlcdm]+|[IVXLCDM]+)$") & (F.length(c) <= 64)
+    letters = c.rlike(r"^([ivxlcdm]+|[IVXLCDM]+)$") & (F.length(c) <= LONGEST)
     value = F.when(letters, roman_value(low))
     canonical = letters & (roman(value) == low)
     style = F.when(number.isNotNull(), "arabic").when(canonical & (c == low), "roman").when(canonical, "Roman")

@@ -31,43 +31,57 @@ def zero_filled(counts: DataFrame, key: str, n: str, every: DataFrame) -> DataFr
     return every.select(key).join(counts, key, "left").withColumn(n, F.coalesce(n, F.lit(0)))
 
 
-#: Upper-case prefixes of font names by family, tried in this order; None counts for no family.
+#: What upper-case font names start with or hold, by family, tried in this order; None counts for no family.
 FONT_FAMILIES = (
-    ("computerModern", "DCR DCBX DCTI DCSL DCTT DCSS DCCSC DCBXTI ECR ECBX ECTI ECSL SFRM SFBX SFTI SFSL SFTT SFSS SFCC SFDC CMR CMBX CMTI CMSL CMSS CMTT"),
-    (None, "CMMI CMSY CMEX CMMIB CMBSY MSBM MSAM"),
-    ("latinModern", "LMROMAN LMMONO LMSANS LMMATH"),
-    ("times", "*TIMES NIMBUS NTXR NEWTXTEXT"),
-    ("palatino", "*PALLADIO *PALATINO NEWPX"),
-    ("helvetica", "*HELVETICA *ARIAL"),
-)
-T1_PREFIXES = "DCR DCBX DCTI DCSL DCTT DCSS DCCSC DCBXTI ECR ECBX ECTI ECSL SFRM SFBX SFTI SFSL SFTT SFSS SFCC LMROMAN LMMONO LMSANS"
-OT1_PREFIXES = "CMR CMBX CMTI CMSL CMSS CMTT CMCSC"
+    ("computerModern", (
+        ("starts", "DCR"), ("starts", "DCBX"), ("starts", "DCTI"), ("starts", "DCSL"), ("starts", "DCTT"), ("starts", "DCSS"), ("starts", "DCCSC"), ("starts", "DCBXTI"),
+        ("starts", "ECR"), ("starts", "ECBX"), ("starts", "ECTI"), ("starts", "ECSL"),
+        ("starts", "SFRM"), ("starts", "SFBX"), ("starts", "SFTI"), ("starts", "SFSL"), ("starts", "SFTT"), ("starts", "SFSS"), ("starts", "SFCC"), ("starts", "SFDC"),
+        ("starts", "CMR"), ("starts", "CMBX"), ("starts", "CMTI"), ("starts", "CMSL"), ("starts", "CMSS"), ("starts", "CMTT"),
+    )),
+    (None, (("starts", "CMMI"), ("starts", "CMSY"), ("starts", "CMEX"), ("starts", "CMMIB"), ("starts", "CMBSY"), ("starts", "MSBM"), ("starts", "MSAM"))),
+    ("latinModern", (("starts", "LMROMAN"), ("starts", "LMMONO"), ("starts", "LMSANS"), ("starts", "LMMATH"))),
+    ("times", (("holds", "TIMES"), ("starts", "NIMBUS"), ("starts", "NTXR"), ("starts", "NEWTXTEXT"))),
+    ("palatino", (("holds", "PALLADIO"), ("holds", "PALATINO"), ("starts", "NEWPX"))),
+    ("helvetica", (("holds", "HELVETICA"), ("holds", "ARIAL"))),
+)
+#: Prefixes of text fonts in the T1 encoding.
+T1_PREFIXES = (
+    "DCR", "DCBX", "DCTI", "DCSL", "DCTT", "DCSS", "DCCSC", "DCBXTI", "ECR", "ECBX", "ECTI", "ECSL",
+    "SFRM", "SFBX", "SFTI", "SFSL", "SFTT", "SFSS", "SFCC", "LMROMAN", "LMMONO", "LMSANS",
+)
+#: Prefixes of text fonts in the OT1 encoding.
+OT1_PREFIXES = ("CMR", "CMBX", "CMTI", "CMSL", "CMSS", "CMTT", "CMCSC")
+#: Prefixes of the fonts that speak for LaTeX.
 LATEX_PREFIXES = (
-    "CMR CMBX CMTI CMSL CMSS CMTT CMCSC CMMI CMSY CMEX CMMIB CMBSY MSAM MSBM DCR DCBX DCTI DCSL DCTT DCSS DCCSC "
-    "ECR ECBX ECTI ECSL SFRM SFBX SFTI SFSL SFTT SFSS LMROMAN LMMONO LMSANS LMMATH"
-)
+    "CMR", "CMBX", "CMTI", "CMSL", "CMSS", "CMTT", "CMCSC", "CMMI", "CMSY", "CMEX", "CMMIB", "CMBSY", "MSAM", "MSBM",
+    "DCR", "DCBX", "DCTI", "DCSL", "DCTT", "DCSS", "DCCSC", "ECR", "ECBX", "ECTI", "ECSL",
+    "SFRM", "SFBX", "SFTI", "SFSL", "SFTT", "SFSS", "LMROMAN", "LMMONO", "LMSANS", "LMMATH",
+)
+#: Words in the names of office fonts.
 OFFICE_WORDS = ("CALIBRI", "CAMBRIA", "ARIAL", "TIMESNEWROMAN", "TIMES NEW ROMAN", "SEGOEUI", "VERDANA", "TAHOMA")
 
 
-def _pattern(words: str) -> str:
-    """A prefix pattern; a leading * means anywhere."""
-    starts = [w for w in words.split() if w[0] != "*"]
-    inside = [w[1:] for w in words.split() if w[0] == "*"]
-    return "|".join([f"^({'|'.join(starts)})"] * bool(starts) + inside)
+def _starts(words: tuple[str, ...]) -> str:
+    return f"^({'|'.join(words)})"
+
+
+def _pattern(rules: tuple[tuple[str, str], ...]) -> str:
+    return "|".join(f"^{text}" if kind == "starts" else text for kind, text in rules)
 
 
 def font_family(name: Column) -> Column:
     up = F.upper(F.regexp_replace(name, r"^[^+]*\+", ""))
     out = F.when(F.lit(False), "")
-    for family, words in FONT_FAMILIES:
-        out = out.when(up.rlike(_pattern(words)), F.lit(family))
+    for family, rules in FONT_FAMILIES:
+        out = out.when(up.rlike(_pattern(rules)), F.lit(family))
     return out
 
 
 def font_encoding(counts: DataFrame, keys: list[str], name: str = "font", n: str = "n") -> DataFrame:
     """T1 or OT1 by the counted fonts: T1 unless classic text fonts outweigh the others."""
     up = F.upper(F.regexp_replace(F.col(name), r"^[^+]*\+", ""))
-    t1, ot1 = up.rlike(_pattern(T1_PREFIXES)), up.rlike(_pattern(OT1_PREFIXES))
+    t1, ot1 = up.rlike(_starts(T1_PREFIXES)), up.rlike(_starts(OT1_PREFIXES))
     sums = counts.groupBy(*keys).agg(
         F.sum(F.when(t1, F.col(n)).otherwise(0)).alias("t1"), F.sum(F.when(ot1 & ~t1, F.col(n)).otherwise(0)).alias("ot1")
     )
@@ -82,7 +96,7 @@ def source_from_fonts(counts: DataFrame, keys: list[str], name: str = "font", n:
     for w in OFFICE_WORDS:
         office = office | F.contains(F.replace(up, F.lit("-"), F.lit("")), F.lit(w))
     sums = counts.groupBy(*keys).agg(
-        F.sum(F.when(up.rlike(_pattern(LATEX_PREFIXES)), F.col(n)).otherwise(0)).alias("latex"),
+        F.sum(F.when(up.rlike(_starts(LATEX_PREFIXES)), F.col(n)).otherwise(0)).alias("latex"),
         F.sum(F.when(office, F.col(n)).otherwise(0)).alias("office"),
         F.coalesce(F.sum(n), F.lit(0)).alias("total"),
     )

@@ -71,10 +71,12 @@ def test_environments():
 
 
 def test_logs():
-    assert P.log_errors("! Undefined control sequence.\nx\nl.42 \\foo") == [("undefined_command", 42, "Undefined control sequence.")]
-    assert P.log_errors("! Missing $ inserted.\n<inserted>\n$\nl.100 x") == [("missing_math", 100, "Missing $ inserted.")]
-    assert P.log_errors("! Missing } inserted.\nl.55") == [("missing_brace", 55, "Missing } inserted.")]
-    assert P.log_errors("./a.tex:7: LaTeX Error: Environment x undefined.\n./a.tex:8: all fine") == [("environment", 7, "LaTeX Error: Environment x undefined.")]
+    log = "! Undefined control sequence.\n<read>\nl.7 \\zz\n! Missing } inserted.\na\nb\nc\nd\nl.9 late\nx/b.tex:31: Missing $ inserted.\nb.tex:32: a remark\n! LaTeX Error: \\begin{q} on input line 3 ended by \\end{r}."
+    assert P.log_errors(log) == [
+        ("undefined_command", 7, "Undefined control sequence."), ("missing_brace", None, "Missing } inserted."), ("missing_math", 31, "Missing $ inserted."),
+        ("environment", None, "LaTeX Error: \\begin{q} on input line 3 ended by \\end{r}."),
+    ]
+    assert P.error_category("Emergency stop.") == "other" and P.error_category("Environment q undefined") == "environment"
     assert P.log_errors("fine\n") == []
 
 
