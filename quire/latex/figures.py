@@ -140,3 +140,39 @@ def figure_widths(calls: DataFrame, figures: DataFrame, pages: DataFrame, files:
     out = found.withColumn("outcome", outcome)
     width = F.when(F.col("outcome") == "widthApplied", F.concat(F.lit("width=\\ifdim\\linewidth<"), "width_bp", F.lit("bp \\linewidth\\else "), "width_bp", F.lit("bp\\fi")))
     return out.select("doc", "n", "start", "insertion", "page", "path", "fraction_text", "width_bp", "outcome", width.alias("width"))
+
+
+def with_widths(docs: DataFrame, figs: DataFrame, pages: DataFrame, files: DataFrame) -> DataFrame:
+    """``docs`` (doc, source and other columns) with the widths written in, and ``outcomes``: a note for each call.
+
+    A width goes first among a call's options, or into brackets of its own.
+    """
+    notes = "array<struct<line: int, kind: string, detail: string>>"
+    widths = figure_widths(graphics_calls(docs), figs, pages, files)
+    edit = F.struct("insertion", "width", "outcome", "path")
+    per_doc = widths.groupBy("doc").agg(F.array_sort(F.collect_list(edit)).alias("edits"))
+    rows = docs.join(per_doc, "doc", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [_edited(s, [] if e is None else e) for s, e in zip(b["source"], b["edits"], strict=True)]
+            found = [[{"line": s.count("\n", 0, x["insertion"]) + 1, "kind": x["outcome"], "detail": x["path"]} for x in ([] if e is None else e)] for s, e in zip(b["source"], b["edits"], strict=True)]
+            yield b.drop(columns=["edits"]).assign(source=out, outcomes=found)
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    return rows.mapInPandas(run, f"{kinds}, outcomes {notes}")
+
+
+def _edited(source: str, edits) -> str:
+    pieces, at = [], 0
+    for e in edits:
+        if e["width"] is None:
+            continue
+        i = e["insertion"]
+        opened = source[i - 1] == "[" and source[i : i + 1] != "{"
+        text = e["width"] if opened else f"[{e['width']}]"
+        if opened and source[i:].lstrip()[:1] not in ("]", ""):
+            text += ","
+        pieces += [source[at:i], text]
+        at = i
+    return "".join([*pieces, source[at:]])

@@ -326,30 +326,19 @@ def page_duplicates(source: str, window: int = 5) -> str:
 
 
 def normalize(source: str, table: list[tuple[str, str]] | None = None, markers: bool = True) -> tuple[str, dict[str, int]]:
-    """The text passes in their order, with counts of what they did.
+    """The passes that need nothing but the text, with whether each changed it: class, symbols, page duplicates, markers.
 
-    Page duplicates need the markers, so stripping them (``markers`` false) comes last.
+    Whole projects go through quire.latex.project.
     """
     counts: dict[str, int] = {}
-    steps: list[tuple[str, Callable[[str], str | tuple[str, int]]]] = [
+    for name, step in (
         ("book_class", lambda s: book_class(s, "\\chapter{" in s)),
-        ("operators", lambda s: add_operators(s, missing_operators(s))),
-        ("copyright", copyright_signs),
-        ("duplicate_chapters", duplicate_chapters),
-        ("verbatim_in_fbox", verbatim_in_fbox),
-        ("equation_splits", equation_splits),
-        ("tags", tags_after_aligned),
-        ("misescaped_dollars", misescaped_dollars),
-        ("currency", currency),
-        ("end_document", end_document),
         ("symbols", lambda s: symbols(s, table or [])),
         ("page_duplicates", page_duplicates),
         ("markers", lambda s: s if markers else strip_markers(s)),
-    ]
-    for name, step in steps:
-        got = step(source)
-        text, n = got if isinstance(got, tuple) else (got, int(got != source))
-        source, counts[name] = text, n
+    ):
+        text = step(source)
+        source, counts[name] = text, int(text != source)
     return source, counts
 
 

@@ -74,14 +74,17 @@ def split_lists(docs: DataFrame, **columns) -> DataFrame:
     return rewritten(docs, pages.split_lists, "\\item", **columns)
 
 
-def normalized(docs: DataFrame, **columns) -> DataFrame:
-    """All passes in their order: text passes, then counters and openings while the markers still stand."""
+def text_normalized(docs: DataFrame, table: list[tuple[str, str]] | None = None, markers: bool = True, **columns) -> DataFrame:
+    """The passes that need nothing but the text; whole projects go through quire.latex.project."""
 
     def step(s: str) -> tuple[str, list]:
-        s, counts = passes.normalize(s)
-        s, lists = pages.split_lists(s)
-        s, counters = pages.page_counters(s)
-        s, opening = pages.open_any(s)
-        return s, [*((0, k, str(n)) for k, n in counts.items() if n), *lists, *counters, (0, opening, "")]
+        s, counts = passes.normalize(s, table, markers)
+        return s, [(0, k, str(n)) for k, n in counts.items() if n]
 
     return rewritten(docs, step, **columns)
+
+
+def passed(docs: DataFrame, step: Callable[[str], str | tuple[str, int]], contains: str | None = None, **columns) -> DataFrame:
+    """(doc, source) after one pass."""
+    text = lambda got: got[0] if isinstance(got, tuple) else got
+    return rewritten(docs, lambda s: (text(step(s)), []), contains, **columns).select("doc", "source")

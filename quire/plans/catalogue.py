@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import join_queries, latex_queries, sequence_queries, status_queries, structure_queries, text_queries  # noqa: F401
+from quire.plans import join_queries, latex_queries, report_queries, sequence_queries, status_queries, structure_queries, text_queries  # noqa: F401
 from quire.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.latex import figures, udfs
+from quire.latex import figures, project, udfs
 from quire.operators import votes
 from quire.plans.registry import query
 from quire.plans.text_queries import accumulated
@@ -37,7 +37,18 @@ def env_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def normalize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return udfs.normalized(sources(spark, sf_dir))
+    """Whole projects: all passes in order, figure widths among them."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), (F.col("turn") + 1).cast("int").alias("page"), "turn")
+    figs = turns.select("doc", "page", F.concat(F.lit("fig"), F.col("turn") % 3).alias("id"), F.array(F.lit(0.1), F.lit(0.1), F.lit(0.5), F.lit(0.5)).alias("bbox"))
+    sizes = turns.select("doc", "page", F.lit(612.0).alias("width"))
+    files = turns.select("doc", F.concat(F.lit("figures/fig"), F.col("turn") % 3, F.lit(".png")).alias("path")).distinct()
+    known = [F.lit(v).alias(k) for k, v in (("paper", "a4paper"), ("family", "times"), ("encoding", "T1"), ("body_size", 11.0))]
+    return project.normalized(sources(spark, sf_dir).select("*", *known), figs, sizes, files)
+
+
+@query()
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return udfs.text_normalized(sources(spark, sf_dir), [("cost", "price")], markers=False)
 
 
 @query()
