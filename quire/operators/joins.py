@@ -46,6 +46,19 @@ def first_candidate(df: DataFrame, row_key: str, candidates: list[Column], known
     return best.select(row_key, F.col(f"m.{known_key}").alias("matched"), F.col("m.p").alias("priority"))
 
 
+def nested_prefixes(a: DataFrame, b: DataFrame, key: str, prefix: str, least: int) -> DataFrame:
+    """For each row of ``a`` the smallest key of ``b`` whose string begins its string, or is begun by it: key, matched.
+
+    Both directions are equalities of a prefix with a whole string; strings have ``least`` letters or more."""
+    whole = b.groupBy(prefix).agg(F.min(key).alias("matched"))
+    lengths = F.sequence(F.lit(least), F.length(prefix))
+    cut = lambda df: df.where(F.length(prefix) >= least).withColumn("__p", F.explode(F.transform(lengths, lambda n: F.substring(F.col(prefix), F.lit(1), n))))
+    begins = cut(a).select(key, F.col("__p").alias(prefix)).join(whole, prefix).select(key, "matched")
+    begun = cut(whole).groupBy("__p").agg(F.min("matched").alias("matched")).withColumnRenamed("__p", prefix)
+    begun = a.where(F.length(prefix) >= least).join(begun, prefix).select(key, "matched")
+    return begins.unionByName(begun).groupBy(key).agg(F.min("matched").alias("matched"))
+
+
 def interval_overlaps(a: DataFrame, b: DataFrame, key: str, width: int, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Pairs of half-open intervals of the same key that overlap, met in cells of ``width``.
 

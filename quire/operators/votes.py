@@ -21,6 +21,36 @@ def arg_max(df: DataFrame, keys: list[str], choice: str, score: Column, name: st
     return tied.where(F.col(name) == F.col("__top")).groupBy(*keys).agg(F.min(choice).alias(choice), F.max(name).alias(name))
 
 
+#: Distinct values of a range of exact_median.
+RANGE_VALUES = 1 << 16
+
+
+def exact_median(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """The exact median of each key, the mean of the middle two for even counts; nulls don't count.
+
+    Values are counted first and dealt by ranges of (key, value), kept in a table; sums over
+    the ranges say which of them hold the middle ranks, and only these are ordered. No task
+    sees a whole key."""
+    from pyspark.sql import Window
+
+    from quire.session import written
+
+    counted = df.select(*keys, value.alias("__v")).where("__v IS NOT NULL").groupBy(*keys, "__v").agg(F.count("*").alias("__n"))
+    counted = written(counted, "median-values")
+    n = max(1, -(-counted.count() // RANGE_VALUES))
+    dealt = written(counted.repartitionByRange(n, *keys, "__v").withColumn("__r", F.spark_partition_id()), "median-ranges")
+    sums = dealt.groupBy(*keys, "__r").agg(F.sum("__n").alias("__s"))
+    before = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__s").over(before), F.lit(0))).withColumn("__total", F.sum("__s").over(Window.partitionBy(*keys)))
+    low, high = F.floor((F.col("__total") - 1) / 2), F.floor(F.col("__total") / 2)
+    middle = sums.where((F.col("__before") <= high) & (F.col("__before") + F.col("__s") > low)).drop("__s")
+    inside = Window.partitionBy(*keys, "__r").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    rows = dealt.join(middle, [*keys, "__r"]).withColumn("__at", F.col("__before") + F.coalesce(F.sum("__n").over(inside), F.lit(0)))
+    holds = lambda rank: (F.col("__at") <= rank) & (F.col("__at") + F.col("__n") > rank)
+    two = rows.groupBy(*keys).agg(F.max(F.when(holds(low), F.col("__v"))).alias("__a"), F.max(F.when(holds(high), F.col("__v"))).alias("__b"))
+    return two.select(*keys, ((F.col("__a") + F.col("__b")) / 2).alias(name))
+
+
 def size_groups(df: DataFrame, dims: list[str], order: str, member: str) -> DataFrame:
     """Rows of equal size, in order of first appearance, with their ordered members."""
     return df.groupBy(*dims).agg(F.min(order).alias("first_seen"), F.array_sort(F.collect_list(member)).alias("members"))
