@@ -428,11 +428,13 @@ def rest_pairs(found: DataFrame, roots: DataFrame, checked: DataFrame, parts: Da
     rows = rows.select("bucket", "cls", "n", "spare", "root", "rep", bound("near", 0.0).alias("near"), bound("far", 1.0).alias("far"), (F.col("rep_n") - F.col("o")).alias("lost"))
     sketches = parts.where(F.col("f") == SKETCH).groupBy("cls").agg(F.first("shingles").alias("sketch"))
     rows = written(rows.join(sketches, "cls"), "jaccard-rest")
-    # A bucket's members in blocks: block i of a band meets blocks j >= i of it, and all blocks of the next band.
+    # A small bucket is one block of one band. The members of others: block i of a band meets blocks j >= i of it, and
+    # all blocks of the next band.
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / REST_MEMBERS).cast("int").alias("blocks"))
     rows = rows.join(sizes, "bucket").withColumn("i", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # A band is a trifle wider than 4/3, so that sizes that may link are at most one band apart.
-    rows = rows.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / (math.log(4 / 3) * (1 + 1e-9))).cast("int"))
+    band = F.floor(F.log(F.col("n").cast("double")) / (math.log(4 / 3) * (1 + 1e-9))).cast("int")
+    rows = rows.withColumn("band", F.when(F.col("blocks") > 1, band).otherwise(0))
     x = _dealt_left(rows).alias("x")
     y = _dealt_right(rows).alias("y")
     apart = F.greatest(F.col("x.near") - F.col("y.far"), F.col("y.near") - F.col("x.far"))
@@ -453,14 +455,14 @@ def _dealt_left(rows: DataFrame) -> DataFrame:
     """Members as the left side of their blocks' meetings: bands (low, high) and blocks (bi, bj)."""
     own = F.transform(F.sequence(F.col("i"), F.col("blocks") - 1), lambda j: F.struct(F.col("band").alias("high"), j.alias("bj")))
     following = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct((F.col("band") + 1).alias("high"), j.alias("bj")))
-    out = rows.withColumn("low", F.col("band")).withColumn("bi", F.col("i")).withColumn("to", F.explode(F.concat(own, following)))
+    out = rows.withColumn("low", F.col("band")).withColumn("bi", F.col("i")).withColumn("to", F.explode(F.when(F.col("blocks") > 1, F.concat(own, following)).otherwise(own)))
     return out.withColumn("high", F.col("to.high")).withColumn("bj", F.col("to.bj")).drop("to")
 
 
 def _dealt_right(rows: DataFrame) -> DataFrame:
     own = F.transform(F.sequence(F.lit(0), F.col("i")), lambda j: F.struct(F.col("band").alias("low"), j.alias("bi")))
     before = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct((F.col("band") - 1).alias("low"), j.alias("bi")))
-    out = rows.withColumn("high", F.col("band")).withColumn("bj", F.col("i")).withColumn("to", F.explode(F.concat(own, before)))
+    out = rows.withColumn("high", F.col("band")).withColumn("bj", F.col("i")).withColumn("to", F.explode(F.when(F.col("blocks") > 1, F.concat(own, before)).otherwise(own)))
     return out.withColumn("low", F.col("to.low")).withColumn("bi", F.col("to.bi")).drop("to")
 
 
