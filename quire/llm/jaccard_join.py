@@ -61,7 +61,7 @@ from quire.llm.words import LOWER, WordHash, chunks, flatten, grams, mix, texts_
 from quire.session import written
 
 SHINGLE = 5
-SLOT_BITS = 26
+SLOT_BITS = 25
 PIVOTS = 16
 FEW_LINKS = 500_000
 FRAGMENTS = 8
@@ -163,7 +163,7 @@ def _slot_of_low(low: np.ndarray) -> np.ndarray:
 
 
 def levels(docs: DataFrame, n_words: int) -> np.ndarray:
-    """For every slot 0, or log2 of how many classes share a shingle: a byte each, 64 MB."""
+    """For every slot 0, or log2 of how many classes share a shingle: a byte each, 32 MB."""
     dealt = docs.select("text").mapInArrow(_deal_hashes(max(1, -(-n_words // COUNT_WORDS))), "part bigint, low binary, counts binary")
     found = dealt.groupBy("part").applyInArrow(_levels(), "slots binary, levels binary")
     out = np.zeros(1 << SLOT_BITS, np.uint8)
