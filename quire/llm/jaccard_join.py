@@ -319,7 +319,8 @@ def segments(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     size = 1 << FILTER_BITS
-    hits = classes.select(F.pmod("did", F.lit(size)).alias("place"))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size))  # ids may share their low bits
+    hits = classes.select(place("did").alias("place"))
     hits = hits.selectExpr("cast(floor(place / 64) AS int) AS w", "shiftleft(1L, cast(pmod(place, 64) AS int)) AS bits")
     words = hits.groupBy("w").agg(F.bit_or("bits").alias("bits")).toArrow()
     bitmap = np.zeros(size // 64, np.int64)
@@ -330,7 +331,7 @@ def segments(docs: DataFrame, classes: DataFrame) -> DataFrame:
         hashes, seen, bitmap = WordHash(), set(), shared.value
         for batch in chunks(batches, "text"):
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            at = np.asarray(ids.fill_null(0)) % size
+            at = np.asarray(batch.column(batch.schema.get_field_index("place")))
             hit = (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
             hit |= np.asarray(ids.is_null())
             batch = batch.filter(pa.array(hit))
@@ -358,7 +359,7 @@ def segments(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 [pa.array(names, pa.int64()), pa.array(fs, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(values))], ["cls", "f", "shingles"]
             )
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "cls bigint, f int, shingles array<bigint>")
+    out = docs.select("doc_id", "text", place("doc_id").alias("place")).mapInArrow(run, "cls bigint, f int, shingles array<bigint>")
     return written(out, "jaccard-segments")
 
 
