@@ -26,10 +26,10 @@ from what came before it, so the product over a text is a proper probability.
   of the text so far, then with those that followed the same word in it, at several
   strengths weighted by how well each has done in the text.
 
-Weights and refinement are learned online, in steps over a bounded sample of the
-training texts (``LEARN_TOKENS``), each bit predicted from counts without the very
-occurrence that is being predicted. Tasks learn side by side and their weights are
-averaged by the bits seen. Words, counts and contexts come from all training texts.
+Weights and refinement are learned online, in steps over all training texts, each bit
+predicted from counts without the very occurrence that is being predicted. Tasks learn
+side by side and their weights are averaged by the bits seen. Words, counts, contexts,
+weights and refinement all come from all training texts.
 
 1. One pass turns blocks of texts into word numbers and dictionaries, whose words are
    dealt to parts by their hash; the number of parts follows the bytes of the input.
@@ -87,13 +87,13 @@ INPUTS = ((0, 1, 2, 3), (0,), (4, 5, 6, 7, 8, 9))
 GATES = (4 * 3 * 3, 4, 4 * 3 * 2)
 #: From how often a context was seen to a part of the gate, by table: the cuts, and what one step counts in the gate.
 SEEN = {0: ((0.5, 7.5, 63.5), 1), 1: ((0.5, 7.5, 63.5), 9), 2: ((0.5, 63.5), 3), 7: ((0.5, 7.5), 2), 8: ((0.5, 3.5, 31.5), 6)}
+#: The lowest bits of a slot's stretched prediction are its part of the gate; they change it by less than 1e-5 of it.
+PART = np.uint32(31)
 #: By mixer: the inputs whose parts make the gate.
 GATED = ((1, 2), (0,), (4, 3))
 BINS = 33
 PRIOR = 0.15
 RATE = 0.08
-#: About so many tokens of training texts, by the texts' hash, teach the few hundred weights.
-LEARN_TOKENS = 4_000_000
 #: Words whose code is at most this long tell the language of what follows.
 FREQUENT = 10
 #: Words, and bytes of spelled words, of a step, and of an online step of learning.
@@ -410,7 +410,7 @@ class Texts:
         contexts = [c[owner] for c in self.contexts]
         bits, start = self.shape.bits, self.shape.start
         live = np.searchsorted(-length.astype(np.int64), -np.arange(int(length[0])), side="left") if len(length) else []
-        half = 1 << (bits[0] - 1)
+        half, deep = 1 << (bits[0] - 1), []
         for depth, n in enumerate(np.asarray(live).tolist()):
             if depth < 31:
                 top = (upper[:n] >> np.uint32(32 - depth)) if depth else np.zeros(n, np.uint32)
@@ -428,7 +428,10 @@ class Texts:
                 slots += [_slot(c[:n], small, bits[i], start[i]) for i, c in enumerate(contexts, 1)]
                 yield Bits(WORDS, bit, owner[:n], slots, (depth >= 4) + (depth >= 9))
             else:
-                yield Bits(REST, bit, owner[:n], slots, 0)
+                deep.append((bit, owner[:n], *slots))
+        if deep:
+            bit, owner, slots = map(np.concatenate, zip(*deep, strict=True))
+            yield Bits(REST, bit, owner, [slots], 0)
 
     def _bytes(self, words: list[bytes], owner: np.ndarray) -> Bits:
         data = np.frombuffer(b" ".join([*words, b""]), np.uint8)
@@ -501,8 +504,8 @@ def _count_bits(shape: Shape):
     """Slices of (times 0, times 1) of all slots, end to end: what the task's texts add to them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, any_ = np.zeros(2 * shape.size, np.float32), False
-        one = np.float32(1)
+        counts, any_ = np.zeros(2 * shape.size, np.uint32), False
+        one = np.uint32(1)
         for batch in chunks(batches, "codes", 4 << 20):
             any_ = True
             for bits in shape.texts(batch, learning=True).steps():
@@ -515,7 +518,7 @@ def _count_bits(shape: Shape):
             for c in range(-(-len(counts) // CHUNK)):
                 part = counts[c * CHUNK : (c + 1) * CHUNK]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([who], pa.int64()), pa.array([zlib.compress(planes(part), 1)], pa.binary())], ["chunk", "who", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([who], pa.int64()), pa.array([_packed(part)], pa.binary())], ["chunk", "who", "counts"])
 
     return run
 
@@ -523,16 +526,24 @@ def _count_bits(shape: Shape):
 COUNT_TYPES = "chunk bigint, who bigint, counts binary"
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A slice of whole numbers: their lowest bytes, then places and values of those that don't fit a byte."""
+    large = np.flatnonzero(counts > 255)
+    return zlib.compress(counts.astype(np.uint8).tobytes() + planes(np.concatenate([large, counts[large].astype(np.int64)])), 1) + len(large).to_bytes(4, "little")
+
+
 def _slice(x: bytes) -> np.ndarray:
-    return numbers(zlib.decompress(x), np.float32)
+    n, data = int.from_bytes(x[-4:], "little"), zlib.decompress(x[:-4])
+    counts = np.frombuffer(data, np.uint8, len(data) - 16 * n).astype(np.int64)
+    large = numbers(data[len(counts) :], np.int64)
+    counts[large[:n]] = large[n:]
+    return counts
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    total = 0.0
-    for x in table["counts"]:
-        total = total + _slice(x.as_py()).astype(np.float64)
+    total = sum(_slice(x.as_py()) for x in table["counts"])
     who = table["who"][0].as_py() // FAN
-    return pa.table({"chunk": table["chunk"].slice(0, 1), "who": pa.array([who], pa.int64()), "counts": pa.array([zlib.compress(planes(total.astype(np.float32)), 1)], pa.binary())})
+    return pa.table({"chunk": table["chunk"].slice(0, 1), "who": pa.array([who], pa.int64()), "counts": pa.array([_packed(total)], pa.binary())})
 
 
 def _bin(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -550,27 +561,27 @@ class Mixer:
         self.weights[self.n] = 0
         self.refine: np.ndarray | None = None
         self.squares = np.zeros((self.n + 1, self.gates))
-        self.stats = np.zeros((2, self.gates * BINS))
+        self.stats = np.zeros((2, 2 * self.gates * BINS))  # by gate, bin and bit: how many, and what of them goes to the next bin
         self.mass = 0.0
 
     def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        z = self.weights[self.n].take(gate) * np.float32(0.3)
+        z = self.weights[self.n].take(gate, mode="clip") * np.float32(0.3)
         for i in range(self.n):
-            z += x[i] * self.weights[i].take(gate)
+            w = self.weights[i].take(gate, mode="clip")
+            w *= x[i]
+            z += w
         return np.clip(z, -14, 14, out=z)
 
     def learn(self, bit: np.ndarray, x: list[np.ndarray], gate: np.ndarray) -> None:
         """One online step: predict, note what happened for the refinement, then follow the gradient."""
         z = self.mixed(x, gate)
         place, share = _bin(z)
-        for p, w in ((place, 1 - share), (place + 1, share)):
-            at = gate * BINS + p
-            self.stats[0] += np.bincount(at, w, self.stats.shape[1])
-            self.stats[1] += np.bincount(at, w * bit, self.stats.shape[1])
+        at = (gate * BINS + place) * 2 + bit
+        self.stats[0] += np.bincount(at, minlength=self.stats.shape[1])
+        self.stats[1] += np.bincount(at, share, self.stats.shape[1])
         error = 1 / (1 + np.exp(-z)) - bit
         mass = np.maximum(np.bincount(gate, minlength=self.gates), 1)
-        constant = np.full(len(z), 0.3, np.float32)
-        g = np.stack([np.bincount(gate, error * v, self.gates) for v in (*x, constant)]) / mass
+        g = np.stack([*(np.bincount(gate, error * v, self.gates) for v in x), np.bincount(gate, error, self.gates) * 0.3]) / mass
         self.squares += g * g
         self.weights -= (RATE * g / np.sqrt(self.squares + 1e-6)).astype(np.float32)
         self.mass += len(z)
@@ -580,15 +591,18 @@ class Mixer:
         z = self.mixed(x, gate)
         if self.refine is not None:
             place, share = _bin(z)
-            at = gate * np.int32(BINS) + place
-            lo = self.refine.take(at)
-            z += lo + share * (self.refine.take(at + 1) - lo)
+            at = gate * BINS + place
+            lo = self.refine.take(at, mode="clip")
+            z += lo + share * (self.refine.take(at + 1, mode="clip") - lo)
             z *= np.float32(0.5)
         z *= np.float32(1) - 2 * bit.astype(np.float32)
         return np.log1p(np.exp(z, out=z), out=z)
 
     def packed(self) -> np.ndarray:
-        return np.concatenate([self.weights.ravel().astype(np.float64) * self.mass, self.stats.ravel(), [self.mass]])
+        n, upper = self.stats.reshape(2, -1, 2)
+        bins = n - upper
+        bins[1:] += upper[:-1]
+        return np.concatenate([self.weights.ravel().astype(np.float64) * self.mass, bins.sum(1), bins[:, 1], [self.mass]])
 
     def learned(self, values: np.ndarray) -> None:
         """Take weights and refinement from the sum of what tasks have ``packed``."""
@@ -613,46 +627,55 @@ class Model:
         self.mixers = [Mixer(k) for k in range(3)]
         self.stretched: np.ndarray | None = None
 
-    def prepare(self) -> None:
-        """Stretched predictions and gate parts of all slots, for scoring."""
-        self.stretched = np.log((self.ones + np.float32(PRIOR)) / (self.zeros + np.float32(PRIOR)))
-        self.seen = np.zeros(self.shape.size, np.uint8)
-        for i, (cuts, step) in SEEN.items():
-            at = slice(self.shape.start[i], self.shape.start[i] + (1 << self.shape.bits[i]))
-            self.seen[at] = np.digitize(self.zeros[at] + self.ones[at], cuts) * step
+    def prepare(self, learning: bool = False) -> None:
+        """Stretched predictions of all slots, with their gate parts in the lowest bits.
+
+        While the model learns, a bit's own occurrence doesn't count: what slots say to bits that are 0, then to those that are 1.
+        """
+        size, prior, own = self.shape.size, np.float32(PRIOR), np.float32(learning)
+        self.stretched = np.empty(size * (1 + learning), np.float32)
+        for i, (first, n) in enumerate(zip(self.shape.start, self.shape.bits, strict=True)):
+            at = slice(first, first + (1 << n))
+            zeros, ones = self.zeros[at], self.ones[at]
+            self.stretched[at] = np.log((ones + prior) / (np.maximum(zeros - own, 0) + prior))
+            if learning:
+                self.stretched[size:][at] = np.log((np.maximum(ones - own, 0) + prior) / (zeros + prior))
+            if i in SEEN:
+                cuts, step = SEEN[i]
+                total = zeros + ones - own
+                part = sum((total >= c).view(np.uint8) for c in cuts) * np.uint8(step)
+                for x in (self.stretched[at], self.stretched[size:][at])[: 1 + learning]:
+                    x.view(np.uint32)[:] = x.view(np.uint32) & ~PART | part
+
+    def _gate(self, bits: Bits, x: list[np.ndarray]) -> np.ndarray:
+        gate = np.uint32(bits.depth)
+        for k in GATED[bits.kind]:
+            gate = gate + (x[k].view(np.uint32) & PART)
+        return gate.astype(np.intp)
 
     def learn(self, texts: Texts) -> None:
         for bits in texts.steps(LEARN_STEP):
-            x, totals = [], []
-            for s in bits.slots:  # without the bit's own occurrence
-                n1 = self.ones.take(s) - bits.bit
-                n0 = self.zeros.take(s) - (1 - bits.bit)
-                x.append(np.log((n1 + np.float32(PRIOR)) / (n0 + np.float32(PRIOR))))
-                totals.append(n0 + n1)
-            gate = bits.depth
-            for k in GATED[bits.kind]:
-                cuts, step = SEEN[INPUTS[bits.kind][k]]
-                gate = gate + np.digitize(totals[k], cuts) * step
-            self.mixers[bits.kind].learn(bits.bit, x, gate)
+            said = bits.bit * np.intp(self.shape.size)
+            x = [self.stretched.take(s + said, mode="clip") for s in bits.slots]
+            self.mixers[bits.kind].learn(bits.bit, x, self._gate(bits, x))
 
     def log_p(self, texts: Texts) -> np.ndarray:
         """ln P of every token before the adaptation."""
         out = texts.extra.copy()
         for bits in texts.steps():
-            gate = np.uint8(bits.depth) if bits.kind != BYTES else bits.depth
-            for k in GATED[bits.kind]:
-                gate = gate + self.seen.take(bits.slots[k])
-            cost = self.mixers[bits.kind].cost(bits.bit, [self.stretched.take(s) for s in bits.slots], gate)
-            if bits.kind == BYTES:
-                np.subtract.at(out, bits.owner, cost.astype(np.float64))
-            else:
+            x = [self.stretched.take(s, mode="clip") for s in bits.slots]
+            cost = self.mixers[bits.kind].cost(bits.bit, x, self._gate(bits, x))
+            if bits.kind == WORDS:
                 out[bits.owner] -= cost  # no token twice
+            else:
+                np.subtract.at(out, bits.owner, cost.astype(np.float64))
         return out
 
 
 def _learn(shape: Shape, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shape, shared.value)
+        model.prepare(learning=True)
         for batch in chunks(batches, "codes", 2 << 20):
             model.learn(shape.texts(batch, learning=True))
         values = np.concatenate([m.packed() for m in model.mixers])
@@ -703,9 +726,7 @@ def train(coded: DataFrame, book: Book) -> tuple[Shape, object, list[np.ndarray]
         part = _slice(r.counts)
         counts[r.chunk * CHUNK : r.chunk * CHUNK + len(part)] += part
     shared = spark.sparkContext.broadcast(counts)
-    share = min(1.0, LEARN_TOKENS / max(book.tokens, 1))
-    sample = learned_from.where(F.pmod(F.xxhash64("codes"), F.lit(1 << 20)) <= int(share * (1 << 20)))
-    sums = sample.mapInArrow(_learn(shape, shared), "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
+    sums = learned_from.mapInArrow(_learn(shape, shared), "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
     ends = np.cumsum([len(m.packed()) for m in Model(shape, counts).mixers])
     values = np.zeros(ends[-1])
     for r in sums:
@@ -715,10 +736,16 @@ def train(coded: DataFrame, book: Book) -> tuple[Shape, object, list[np.ndarray]
 
 def _seen_before(key: np.ndarray) -> np.ndarray:
     """How often each place's key came at earlier places."""
-    order = np.argsort(key, kind="stable")
-    fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-    before = np.empty(len(key), np.float64)
-    before[order] = np.arange(len(key)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    n = len(key)
+    order = np.argsort(key)
+    ranked = key[order]
+    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    group = np.cumsum(fresh) - 1
+    number = np.empty(n, np.int64)
+    number[order] = group
+    order = np.sort(number * n + np.arange(n)) - group * n  # the places of each key in their order
+    before = np.empty(n, np.float64)
+    before[order] = np.arange(n) - np.flatnonzero(fresh)[group]
     return before
 
 

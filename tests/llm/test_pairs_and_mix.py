@@ -435,5 +435,36 @@ def test_order_matters_and_columns_may_clash(spark):
     assert sum(score[h[0]] > score[s[0]] for h, s in zip(held, shuffled, strict=True)) > 0.9 * len(held)
 
 
+def test_every_training_text_teaches_the_weights(spark):
+    """Weights and refinement see each bit of all training texts, however large the corpus."""
+    import numpy as np
+
+    coded, book = context_mixing.code_texts(spark.createDataFrame(corpus_of(random.Random(5), 200), DOCS))
+    book.tokens = 10**9  # as in a large corpus
+    _, _, learned = context_mixing.train(coded, book)
+    bits = 0
+    for r in coded.where("NOT held_out").collect():
+        for v in context_mixing.numbers(r.codes, np.uint64).tolist():
+            bits += v & 63 if v & 63 < int(context_mixing.NEW) else int(book.escape) & 63
+    assert bits > 20_000
+    assert learned[context_mixing.WORDS][-1] + learned[context_mixing.REST][-1] == bits
+    for kind, values in enumerate(learned):
+        n = context_mixing.GATES[kind] * context_mixing.BINS
+        assert values[-1 - 2 * n : -1 - n].sum() == pytest.approx(values[-1])
+
+
+def test_slices_of_counts_and_earlier_places():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for counts in (np.array([0, 255, 256, 7], np.uint32), np.array([2**40, 0, 3]), np.zeros(5, np.uint32), rng.integers(0, 600, 1000)):
+        assert context_mixing._slice(context_mixing._packed(counts)).tolist() == counts.tolist()
+    key = rng.integers(0, 40, 500).astype(np.uint64) * context_mixing.ODD
+    seen = Counter()
+    for k, n in zip(key.tolist(), context_mixing._seen_before(key).tolist(), strict=True):
+        assert n == seen[k]
+        seen[k] += 1
+
+
 def test_empty_corpus(spark):
     assert context_mixing.score_texts(spark.createDataFrame([], DOCS)).count() == 0
