@@ -75,6 +75,8 @@ WORD_BITS = (20, 20, 19, 20)
 BYTE_BITS = (16, 18, 19, 19, 19, 19)
 #: Bits of a word's code from this depth on are predicted without context.
 DEEP = 14
+#: Bits in a row whose slots of a context lie in one aligned group of 2**GROUP, one line of the processor's cache.
+GROUP = 3
 #: Words seen at most so often have no code of their own; what stands for a length in theirs.
 RARE = 2
 NEW, TWICE, ONCE = np.uint64(61), np.uint64(62), np.uint64(63)
@@ -126,6 +128,9 @@ BLOCKS = pa.schema([
 BLOCK_TYPES = "block bigint, doc_id bigint, held_out boolean, numbers binary, n_bytes bigint, part bigint, words binary, counts binary"
 
 
+_BLANK = np.isin(np.arange(256), list(BLANKS))
+
+
 class Numbers(dict):
     """word -> number, the next one for a new word."""
 
@@ -134,15 +139,31 @@ class Numbers(dict):
         return value
 
 
+def _tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of the texts end to end, A-Z lower-cased, with an empty one at each text's end, and by text how many tokens and bytes of words."""
+    data = b"\n".join([*texts, b""]).translate(LOWER)
+    blank = np.concatenate([[True], _BLANK[np.frombuffer(data, np.uint8)]])
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    first, length = edges[::2], edges[1::2] - edges[::2]
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    words = np.searchsorted(first, ends)
+    at = np.zeros(len(length) + len(texts) + 1, np.int64)
+    np.cumsum(np.insert(length, words, 0), out=at[1:])
+    flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data.translate(None, BLANKS))])
+    last = words + np.arange(1, len(texts) + 1)
+    return flat, np.diff(last, prepend=0), np.diff(at[last], prepend=0)
+
+
 def _blocks(n_parts: int):
     """Texts (block, doc_id, held_out, numbers, n_bytes) and, by part, words with their training counts of each block.
 
     A block's words are numbered in the order of their parts.
     """
 
-    def flush(block, index, ids, lengths, doc_ids, held, sizes) -> Iterator[pa.RecordBatch]:
-        flat, length = np.concatenate(ids), np.array(lengths, np.int64)
-        words = list(index)
+    def flush(block, tokens, lengths, doc_ids, held, sizes) -> Iterator[pa.RecordBatch]:
+        coded, length = pa.chunked_array(tokens).dictionary_encode(), np.array(lengths, np.int64)
+        words = coded.chunk(0).dictionary.to_pylist()
+        flat = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         part = ((h >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
         order = np.lexsort((-np.bincount(flat, minlength=len(words)), part))
@@ -173,20 +194,18 @@ def _blocks(n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         block = (context.partitionId() if context else 0) << 24
-        state, index, size = [[] for _ in range(5)], Numbers({b"": 0}), 0
+        state, size = [[] for _ in range(5)], 0
         for batch in chunks(batches, "text"):
-            for t, d, o in zip(texts_of(batch, "text"), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = t.translate(LOWER).split()
-                ids = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
-                n_bytes = len(t.translate(None, BLANKS)) + len(words) + 1
-                for column, x in zip(state, (np.append(ids, np.int32(0)), len(words) + 1, d, bool(o), n_bytes), strict=True):
-                    column.append(x)
-                size += len(t)
+            texts = texts_of(batch, "text")
+            tokens, lengths, n_bytes = _tokens(texts)
+            for column, x in zip(state, ([tokens], lengths.tolist(), batch.column(0).to_pylist(), map(bool, batch.column(1).to_pylist()), (n_bytes + lengths).tolist()), strict=True):
+                column.extend(x)
+            size += sum(map(len, texts))
             if size > BLOCK_BYTES:
-                yield from flush(block, index, *state)
-                block, state, index, size = block + 1, [[] for _ in range(5)], Numbers({b"": 0}), 0
+                yield from flush(block, *state)
+                block, state, size = block + 1, [[] for _ in range(5)], 0
         if state[0]:
-            yield from flush(block, index, *state)
+            yield from flush(block, *state)
 
     return run
 
@@ -331,10 +350,21 @@ class Code:
         self.start = np.concatenate([[0], np.cumsum(self.length)])[:-1]
         self.node = np.array([n for s in steps for n, _ in s], np.uint64)
         self.bit = np.array([b for s in steps for _, b in s], np.int8)
+        #: By step: the node that its group starts from, and its place in the group.
+        self.root = np.array([s[i - i % GROUP][0] for s in steps for i in range(len(s))], np.uint32)
+        self.place = np.array([_place([b for _, b in s[i - i % GROUP : i]]) for s in steps for i in range(len(s))], np.uint32)
+
+
+def _place(bits: list[int]) -> int:
+    """The place in its group of the step after these of the group's bits: 1, then 2 and 3, then 4 to 7."""
+    return int("".join(map(str, [1, *bits])), 2)
 
 
 class Bits:
-    """Bits of a step: the mixer they belong to, value, token, slot in each of the mixer's tables, and a number about their depth."""
+    """Bits of a step: the mixer they belong to, value, token, slot in each of the mixer's tables, and a number about their depth.
+
+    While the model learns, twice the slot plus the bit stands for the slot.
+    """
 
     def __init__(self, kind: int, bit: np.ndarray, owner: np.ndarray, slots: list[np.ndarray], depth):
         self.kind, self.bit, self.owner, self.slots, self.depth = kind, bit, owner, slots, depth
@@ -365,7 +395,7 @@ class Texts:
     """Coded texts end to end, with the contexts of every token."""
 
     def __init__(self, codes: list[bytes], tails: list[bytes], spelled: list[bytes], shape: Shape, learning: bool):
-        self.shape = shape
+        self.shape, self.learning = shape, learning
         self.v = np.concatenate([numbers(x, np.uint64) for x in codes])
         self.lengths = np.array([len(x) // 8 for x in codes], np.int64)
         words = [w for x in spelled if x for w in x[:-1].split(b" ")]
@@ -410,7 +440,7 @@ class Texts:
         contexts = [c[owner] for c in self.contexts]
         bits, start = self.shape.bits, self.shape.start
         live = np.searchsorted(-length.astype(np.int64), -np.arange(int(length[0])), side="left") if len(length) else []
-        half, deep = 1 << (bits[0] - 1), []
+        half, deep, learning = 1 << (bits[0] - 1), [], np.uint32(self.learning)
         for depth, n in enumerate(np.asarray(live).tolist()):
             if depth < 31:
                 top = (upper[:n] >> np.uint32(32 - depth)) if depth else np.zeros(n, np.uint32)
@@ -420,15 +450,22 @@ class Texts:
                 node = (whole[:n] >> np.uint64(64 - depth)) + np.uint64(1 << depth)
                 bit = (whole[:n] >> np.uint64(63 - depth)).astype(np.uint8) & np.uint8(1)
             if 1 << (depth + 1) <= half:
-                slots = [node]
+                slot = node
             else:
-                slots = [(np.uint64(half) + (mix(node.astype(np.uint64)) >> np.uint64(65 - bits[0]))).astype(np.uint32)]
+                slot = (np.uint64(half) + (mix(node.astype(np.uint64)) >> np.uint64(65 - bits[0]))).astype(np.uint32)
+            if learning:
+                slot = slot << learning | bit
             if depth < self.shape.deep:
-                small = node * np.uint32(0x85EBCA6B)
-                slots += [_slot(c[:n], small, bits[i], start[i]) for i, c in enumerate(contexts, 1)]
-                yield Bits(WORDS, bit, owner[:n], slots, (depth >= 4) + (depth >= 9))
+                into = depth % GROUP
+                if not into:
+                    small = node * np.uint32(0x85EBCA6B)
+                    groups = [_slot(c[:n], small, bits[i], start[i]) << learning for i, c in enumerate(contexts, 1)]
+                place = node & np.uint32((1 << into) - 1) | np.uint32(1 << into)
+                if learning:
+                    place = place << learning | bit
+                yield Bits(WORDS, bit, owner[:n], [slot, *(g[:n] ^ place for g in groups)], (depth >= 4) + (depth >= 9))
             else:
-                deep.append((bit, owner[:n], *slots))
+                deep.append((bit, owner[:n], slot))
         if deep:
             bit, owner, slots = map(np.concatenate, zip(*deep, strict=True))
             yield Bits(REST, bit, owner, [slots], 0)
@@ -457,10 +494,12 @@ class Texts:
         byte = np.repeat(np.arange(len(data)), steps)
         within = np.arange(len(byte)) - (np.cumsum(steps) - steps)[byte]
         at = code.start[data][byte] + within
-        node = code.node[at].astype(np.uint32) * np.uint32(0x85EBCA6B)
+        root, place, bit, learning = code.root[at] * np.uint32(0x85EBCA6B), code.place[at], code.bit[at].astype(np.uint8), np.uint32(self.learning)
+        if learning:
+            place = place << learning | bit
         bits, start, n = self.shape.bits, self.shape.start, len(self.shape.words)
-        slots = [_slot(_short(c)[byte], node, bits[n + i], start[n + i]) for i, c in enumerate(contexts)]
-        return Bits(BYTES, code.bit[at].astype(np.uint8), owner[row[byte]], slots, (within > 0).astype(np.uint8))
+        slots = [_slot(_short(c)[byte], root, bits[n + i], start[n + i]) << learning ^ place for i, c in enumerate(contexts)]
+        return Bits(BYTES, bit, owner[row[byte]], slots, (within > 0).astype(np.uint8))
 
 
 def prev_bytes(b: np.ndarray, k: int) -> np.ndarray:
@@ -509,10 +548,10 @@ def _count_bits(shape: Shape):
         for batch in chunks(batches, "codes", 4 << 20):
             any_ = True
             for bits in shape.texts(batch, learning=True).steps():
-                ones = bits.bit.astype(np.int64) * shape.size
                 for s in bits.slots:
-                    np.add.at(counts, s + ones, one)
+                    np.add.at(counts, s.astype(np.int64), one)
         if any_:
+            counts = np.ascontiguousarray(counts.reshape(-1, 2).T).reshape(-1)
             context = TaskContext.get()
             who = context.partitionId() if context else 0
             for c in range(-(-len(counts) // CHUNK)):
@@ -576,11 +615,15 @@ class Mixer:
         """One online step: predict, note what happened for the refinement, then follow the gradient."""
         z = self.mixed(x, gate)
         place, share = _bin(z)
-        at = (gate * BINS + place) * 2 + bit
-        self.stats[0] += np.bincount(at, minlength=self.stats.shape[1])
+        at = gate * (2 * BINS) + (place * np.int32(2) + bit)
+        seen = np.bincount(at, minlength=self.stats.shape[1])
+        self.stats[0] += seen
         self.stats[1] += np.bincount(at, share, self.stats.shape[1])
-        error = 1 / (1 + np.exp(-z)) - bit
-        mass = np.maximum(np.bincount(gate, minlength=self.gates), 1)
+        error = np.exp(np.negative(z, out=z), out=z)
+        error += np.float32(1)
+        np.divide(np.float32(1), error, out=error)
+        error -= bit
+        mass = np.maximum(seen.reshape(self.gates, -1).sum(1), 1)
         g = np.stack([*(np.bincount(gate, error * v, self.gates) for v in x), np.bincount(gate, error, self.gates) * 0.3]) / mass
         self.squares += g * g
         self.weights -= (RATE * g / np.sqrt(self.squares + 1e-6)).astype(np.float32)
@@ -630,22 +673,25 @@ class Model:
     def prepare(self, learning: bool = False) -> None:
         """Stretched predictions of all slots, with their gate parts in the lowest bits.
 
-        While the model learns, a bit's own occurrence doesn't count: what slots say to bits that are 0, then to those that are 1.
+        While the model learns, a bit's own occurrence doesn't count: by slot, what it says to bits that are 0 and to those that are 1.
         """
         size, prior, own = self.shape.size, np.float32(PRIOR), np.float32(learning)
         self.stretched = np.empty(size * (1 + learning), np.float32)
+        by_bit = self.stretched.reshape(size, -1).T
         for i, (first, n) in enumerate(zip(self.shape.start, self.shape.bits, strict=True)):
             at = slice(first, first + (1 << n))
             zeros, ones = self.zeros[at], self.ones[at]
-            self.stretched[at] = np.log((ones + prior) / (np.maximum(zeros - own, 0) + prior))
+            said = [np.log((ones + prior) / (np.maximum(zeros - own, 0) + prior))]
             if learning:
-                self.stretched[size:][at] = np.log((np.maximum(ones - own, 0) + prior) / (zeros + prior))
+                said.append(np.log((np.maximum(ones - own, 0) + prior) / (zeros + prior)))
             if i in SEEN:
                 cuts, step = SEEN[i]
                 total = zeros + ones - own
                 part = sum((total >= c).view(np.uint8) for c in cuts) * np.uint8(step)
-                for x in (self.stretched[at], self.stretched[size:][at])[: 1 + learning]:
+                for x in said:
                     x.view(np.uint32)[:] = x.view(np.uint32) & ~PART | part
+            for x, y in zip(by_bit, said, strict=True):
+                x[at] = y
 
     def _gate(self, bits: Bits, x: list[np.ndarray]) -> np.ndarray:
         gate = np.uint32(bits.depth)
@@ -655,8 +701,7 @@ class Model:
 
     def learn(self, texts: Texts) -> None:
         for bits in texts.steps(LEARN_STEP):
-            said = bits.bit * np.intp(self.shape.size)
-            x = [self.stretched.take(s + said, mode="clip") for s in bits.slots]
+            x = [self.stretched.take(s, mode="clip") for s in bits.slots]
             self.mixers[bits.kind].learn(bits.bit, x, self._gate(bits, x))
 
     def log_p(self, texts: Texts) -> np.ndarray:

@@ -453,6 +453,45 @@ def test_every_training_text_teaches_the_weights(spark):
         assert values[-1 - 2 * n : -1 - n].sum() == pytest.approx(values[-1])
 
 
+def test_tokens_are_cut_as_split_cuts_them():
+    texts = [b"", "A b\x00É \x1c\x85 Zz\t\n a".encode(), b" \x0b\x0c\r", b"x", b"y z ", "\u3000Ä\u00a0".encode(), b""]
+    flat, n_tokens, n_bytes = context_mixing._tokens(texts)
+    want = [t.translate(context_mixing.LOWER).split() for t in texts]
+    assert flat.to_pylist() == [w for words in want for w in [*words, b""]]
+    assert n_tokens.tolist() == [len(words) + 1 for words in want]
+    assert n_bytes.tolist() == [len(b"".join(words)) for words in want]
+
+
+@pytest.mark.parametrize("learning", [False, True])
+def test_slots_of_three_bits_share_a_group(spark, learning):
+    """Bits 0 to 2 of a code, 3 to 5 and so on, look into one aligned group of each context's table, at different places."""
+    import numpy as np
+
+    coded, book = context_mixing.code_texts(spark.createDataFrame(corpus_of(random.Random(6), 60), DOCS))
+    book.tokens = 10**9
+    shape = context_mixing.Shape(book, context_mixing.Code(np.arange(256)))
+    got = coded.collect()
+    texts = context_mixing.Texts([r.codes for r in got], [r.tails for r in got], [r.spelled for r in got], shape, learning)
+    of_token, of_byte = defaultdict(list), []
+    for bits in texts.steps():
+        at = [s.astype(np.int64) >> learning for s in bits.slots]
+        assert not learning or all(((s & 1) == bits.bit).all() for s in bits.slots)
+        for j, t in enumerate(bits.owner.tolist()):
+            if bits.kind == context_mixing.WORDS:
+                of_token[t].append([int(x[j]) for x in at[1:]])
+        if bits.kind == context_mixing.BYTES:
+            of_byte += [(int(d), [int(x[j]) for x in at]) for j, d in enumerate(bits.depth)]
+    runs = list(of_token.values())
+    for depth, slots in of_byte:
+        runs += [] if depth else [[]]
+        runs[-1].append(slots)
+    assert len(runs) > 500 and (of_byte or not learning)
+    for run in runs:
+        for i in range(0, len(run), 3):
+            for column in zip(*run[i : i + 3], strict=True):
+                assert len({x >> 3 for x in column}) == 1 and len(set(column)) == len(column)
+
+
 def test_slices_of_counts_and_earlier_places():
     import numpy as np
 
