@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.sequence import ranked
+
 #: Rows up to which a side may be broadcast, after counting it.
 SMALL_ROWS = 100_000
 
@@ -81,7 +83,7 @@ def latest(log: DataFrame, key: str, order: list[str], value: list[str]) -> Data
 
 def zipped(a: DataFrame, b: DataFrame, order_a: list, order_b: list, keys: list[str]) -> DataFrame:
     """Rows of equal position within a key, up to the shorter side."""
-    number = lambda df, order: df.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    number = lambda df, order: ranked(df, keys, order, "__i", "__n").withColumn("pos", F.col("__i") + 1).drop("__i", "__n")
     return number(a, order_a).join(number(b, order_b), [*keys, "pos"])
 
 

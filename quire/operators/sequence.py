@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import written
+
+#: Rows of a range that one task sorts.
+RANGE_ROWS = 1 << 19
+
 
 def _window(keys: list[str], order: list):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -74,12 +79,32 @@ def without_repeats(df: DataFrame, keys: list[str], order: list, value: str) ->
     return df.withColumn("__n", following).where(~F.col(value).eqNullSafe(F.col("__n")) | F.col("__n").isNull()).drop("__n")
 
 
+def ranked(df: DataFrame, keys: list[str], order: list, name: str, size: str) -> DataFrame:
+    """Adds a row's number within its key, from 0, and the key's rows, in two steps, for few large keys.
+
+    Ranges of keys and order follow the input, so that no task sorts a whole key; the rows that a
+    key has in the ranges before are added to the places within a range. Null is a key like others.
+    """
+    n = max(1, -(-df.count() // RANGE_ROWS))
+    dealt = df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+    placed = written(dealt.withColumn("__id", F.monotonically_increasing_id()).withColumn("__range", F.spark_partition_id()), "ranks")
+    parts = placed.groupBy("__range", *keys).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = _window(keys, ["__range"]).rowsBetween(Window.unboundedPreceding, -1)
+    base = F.col("__first") - F.coalesce(F.sum("__n").over(before), F.lit(0))
+    total = F.sum("__n").over(Window.partitionBy(*keys))
+    named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    # A table, so that its size is known and decides how it is joined.
+    parts = written(parts.select(F.col("__range").alias("__r"), *named, base.alias("__base"), total.alias(size)), "rank-parts")
+    same = F.col("__range") == F.col("__r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return placed.join(parts, same).select(*df.columns, (F.col("__id") - F.col("__base")).alias(name), size)
+
+
 def stride(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     """Every step-th row from the first; step = max(1, rows / k)."""
-    w = Window.partitionBy(*keys)
-    step = F.greatest(F.lit(1), F.floor(F.count("*").over(w) / k))
-    numbered = df.withColumn("__i", F.row_number().over(_window(keys, order)) - 1).withColumn("__s", step)
-    return numbered.where(F.pmod("__i", "__s") == 0).drop("__i", "__s")
+    step = F.greatest(F.lit(1), F.floor(F.col("__n") / k))
+    return ranked(df, keys, order, "__i", "__n").where(F.pmod("__i", step) == 0).drop("__i", "__n")
 
 
 def batches(df: DataFrame, keys: list[str], order: list, size: int, name: str = "batch") -> DataFrame:

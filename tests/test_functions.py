@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quire.functions import geometry as G
 from quire.functions import labels as L
 from quire.functions import text as T
-from quire.operators import compare, layout, sequence, status, votes
+from quire.operators import compare, joins, layout, sequence, status, votes
 
 
 def one(spark, column, **values):
@@ -116,3 +116,20 @@ def test_status(spark):
     assert {r.block_id: r.status for r in status.recovered(now).collect()}[1] == "queued"
     assert [r.block_id for r in status.runnable(status.recovered(now), ["block_id"]).collect()] == [1, 3]
     assert {(r.block_id, r.seq): r.allowed for r in status.transitions(log).collect()}[(2, 2)] is False
+
+
+def test_ranks_of_large_keys_need_no_task_with_a_whole_key(spark, monkeypatch):
+    """Places within few keys, null among them, come from ranges: no window runs over the rows themselves."""
+    monkeypatch.setattr(sequence, "RANGE_ROWS", 64, raising=False)
+    rows = [(None if i % 3 == 0 else "ab"[i % 2], (i * 7919) % 1000) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, v int").repartition(5)
+    by = {k: sorted(v for x, v in rows if x == k) for k in (None, "a", "b")}
+    out = sequence.stride(df, ["k"], ["v"], 20)
+    assert "Window" not in out._jdf.queryExecution().toString()
+    assert sorted(map(str, out.collect())) == sorted(str(r) for r in spark.createDataFrame([(k, v) for k, vs in by.items() for v in vs[:: max(1, len(vs) // 20)]], "k string, v int").collect())
+    half = df.where("v < 500").withColumnRenamed("v", "w")
+    both = joins.zipped(df, half, [F.desc("v")], ["w"], ["k"])
+    assert "Window" not in both._jdf.queryExecution().toString()
+    want = [(k, i + 1, v, w) for k in "ab" for i, (v, w) in enumerate(zip(by[k][::-1], [w for w in by[k] if w < 500]))]
+    assert sorted(tuple(r[c] for c in ("k", "pos", "v", "w")) for r in both.collect()) == sorted(want)
+    assert sequence.stride(df.limit(0), ["k"], ["v"], 20).count() == 0
