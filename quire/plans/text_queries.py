@@ -14,16 +14,26 @@ from quire.session import table
 _TOKENS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\s\x{0085}\p{Z}]+'), lambda w: regexp_matches(w, '[\p{L}\p{M}\p{N}]'))"
 
 
+#: Pairs of passage and document that one task counts at most.
+SLICE_PAIRS = 1 << 18
+
+
 def _vocabulary(df: DataFrame, key: str) -> DataFrame:
     """(key, word): the distinct tokens of each text."""
     return df.select(key, F.explode(F.array_distinct(T.simple_tokens(F.col("text")))).alias("word"))
 
 
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id, hits, item_size): shared distinct words of every passage and document that share one."""
-    items = _vocabulary(table(spark, sf_dir, "benchmark"), "item_id")
+    """(item_id, doc_id, hits, item_size): shared distinct words of every passage and document that share one.
+
+    The passages' words of a document lie in one of slices whose number follows the input, so pairs are
+    counted and ranked there as they are, and only a slice's best go on.
+    """
+    passages, texts = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    items = _vocabulary(passages, "item_id")
     size = items.groupBy("item_id").agg(F.count("*").alias("item_size"))
-    docs = _vocabulary(table(spark, sf_dir, "documents"), "doc_id")
+    n_slices = max(1, -(-passages.count() * texts.count() // SLICE_PAIRS))
+    docs = _vocabulary(texts, "doc_id").join(items.select("word").distinct(), "word", "left_semi").repartition(n_slices, "doc_id")
     return items.join(docs, "word").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits")).join(size, "item_id")
 
 

@@ -1,6 +1,7 @@
 """Every query with SQL gives the SQL's rows on the smallest tables; the others run."""
 
 import os
+import re
 
 import pytest
 
@@ -38,3 +39,16 @@ def test_rest_works_without_llm(monkeypatch):
     entry = importlib.import_module("__spark_entry__")
     assert "word_coverage_top3" in entry.queries() and "pipeline" not in entry.queries()
     sys.modules.pop("__spark_entry__", None)
+
+
+@pytest.mark.parametrize("name", ["word_coverage_top3", "reverse_coverage"])
+def test_pairs_are_counted_in_slices_that_follow_the_input(spark, monkeypatch, name):
+    """A task's pairs of passage and document are bounded: slices of documents, from which pairs aren't dealt out again."""
+    from quire.plans import text_queries
+
+    n = spark.read.parquet(f"{SF}/benchmark.parquet").count() * spark.read.parquet(f"{SF}/documents.parquet").count()
+    monkeypatch.setattr(text_queries, "SLICE_PAIRS", -(-n // 23), raising=False)
+    out = catalogue.QUERIES[name](spark, SF)
+    plan = re.sub(r"#\d+L?", "", out._jdf.queryExecution().executedPlan().toString())
+    assert "hashpartitioning(doc_id, 23)" in plan and "hashpartitioning(item_id, doc_id" not in plan
+    same(out, catalogue.SQL[name], SF)
