@@ -52,7 +52,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,7 +89,7 @@ GATES = (4 * 3 * 3, 4, 4 * 3 * 2)
 #: From how often a context was seen to a part of the gate, by table: the cuts, and what one step counts in the gate.
 SEEN = {0: ((0.5, 7.5, 63.5), 1), 1: ((0.5, 7.5, 63.5), 9), 2: ((0.5, 63.5), 3), 7: ((0.5, 7.5), 2), 8: ((0.5, 3.5, 31.5), 6)}
 #: The lowest bits of a slot's stretched prediction are its part of the gate; they change it by less than 1e-5 of it.
-PART = np.uint32(31)
+PART = np.uint8(31)
 #: By mixer: the inputs whose parts make the gate.
 GATED = ((1, 2), (0,), (4, 3))
 BINS = 33
@@ -100,10 +99,15 @@ RATE = 0.08
 FREQUENT = 10
 #: Words, and bytes of spelled words, of a step, and of an online step of learning.
 STEP, LEARN_STEP = (1 << 16, 1 << 13), (1 << 13, 1 << 11)
+#: Bytes of codes that are counted or scored at a time; what belongs to them stays in the processor's cache.
+CODES = 8 * STEP[0]
+#: Tokens that are adapted at a time, or one text's.
+ADAPTED = 1 << 14
 #: Pseudo-tokens of the model in the adaptation to a text.
 STRENGTHS = (15.0, 150.0, 3000.0)
 #: The same for the words that followed the same word.
 AFTER = (1.0, 10.0, 1000.0)
+ZSTD = pa.Codec("zstd", 1)
 BLANKS = b" \t\n\x0b\x0c\r"
 ODD = np.uint64(0x9E3779B97F4A7C15)
 NODE = np.uint64(0xD6E8FEB86659FD93)
@@ -131,12 +135,27 @@ BLOCK_TYPES = "block bigint, doc_id bigint, held_out boolean, numbers binary, n_
 _BLANK = np.isin(np.arange(256), list(BLANKS))
 
 
-class Numbers(dict):
-    """word -> number, the next one for a new word."""
+def _array(at: np.ndarray, data: bytes) -> pa.Array:
+    """Words whose n + 1 offsets in ``data`` are ``at``."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)])
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        return value
+
+def _split(words: bytes) -> pa.Array:
+    """What ``words.split(b" ")`` lists."""
+    ends = np.append(np.flatnonzero(np.frombuffer(words, np.uint8) == 32), len(words))
+    return _array(np.insert(ends - np.arange(len(ends)), 0, 0), words.replace(b" ", b""))
+
+
+def _numbered(words: list[pa.Array]) -> tuple[list[bytes], list[np.ndarray]]:
+    """The distinct words in the order in which they first come, and by array which of them its words are."""
+    coded = pa.chunked_array(words, pa.large_binary()).dictionary_encode()
+    if not coded.num_chunks:
+        return [], []
+    found = coded.chunk(0).dictionary
+    at = np.frombuffer(found.buffers()[1], np.int64)[found.offset :][: len(found) + 1].tolist()
+    data = found.buffers()[2]
+    data = data.to_pybytes() if data else b""  # cut by hand, as to_pylist() takes several times as long
+    return [data[a:b] for a, b in zip(at, at[1:], strict=False)], [c.indices.to_numpy() for c in coded.chunks]
 
 
 def _tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -149,7 +168,7 @@ def _tokens(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     words = np.searchsorted(first, ends)
     at = np.zeros(len(length) + len(texts) + 1, np.int64)
     np.cumsum(np.insert(length, words, 0), out=at[1:])
-    flat = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data.translate(None, BLANKS))])
+    flat = _array(at, data.translate(None, BLANKS))
     last = words + np.arange(1, len(texts) + 1)
     return flat, np.diff(last, prepend=0), np.diff(at[last], prepend=0)
 
@@ -161,9 +180,9 @@ def _blocks(n_parts: int):
     """
 
     def flush(block, tokens, lengths, doc_ids, held, sizes) -> Iterator[pa.RecordBatch]:
-        coded, length = pa.chunked_array(tokens).dictionary_encode(), np.array(lengths, np.int64)
-        words = coded.chunk(0).dictionary.to_pylist()
-        flat = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+        length = np.array(lengths, np.int64)
+        words, each = _numbered(tokens)
+        flat = np.concatenate(each)
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         part = ((h >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
         order = np.lexsort((-np.bincount(flat, minlength=len(words)), part))
@@ -216,23 +235,28 @@ PLACE_TYPES = "block bigint, part bigint, totals binary, places binary, spelled
 
 
 def _tail(word: bytes) -> int:
-    """8 bits of the last three bytes."""
+    """16 bits of the last three bytes."""
     return xxhash.xxh32_intdigest(word[-3:]) & 0xFFFF
 
 
+class Tails(dict):
+    """The last three bytes of a word -> their 16 bits."""
+
+    def __missing__(self, end: bytes) -> int:
+        value = self[end] = _tail(end)
+        return value
+
+
 def _count_part(table: pa.Table) -> pa.Table:
     """For each block's words of a part: training count, place on the part's line and, of words to be spelled, the bytes."""
     table = table.sort_by("block")
-    words, index = [], Numbers()
-    for blob in table["words"].to_pylist():
-        each = blob.split(b" ")
-        words.append(np.fromiter(map(index.__getitem__, each), np.int64, len(each)))
+    each, words = _numbered([_split(x) for x in table["words"].to_pylist()])
     counts = [numbers(x, np.int64) for x in table["counts"].to_pylist()]
-    total = np.bincount(np.concatenate(words), np.concatenate(counts), len(index)).astype(np.int64)
+    total = np.bincount(np.concatenate(words), np.concatenate(counts), len(each)).astype(np.int64)
     coded = np.where(total > RARE, total, 0)
     place = np.where(total > RARE, np.cumsum(coded) - coded, np.arange(len(total)))  # rare words: a number within the part
-    each = list(index)
-    tail = np.fromiter(map(_tail, each), np.uint16, len(each))
+    tails = Tails()
+    tail = np.fromiter((tails[w[-3:]] for w in each), np.uint16, len(each))
     sums = [int(total.sum()), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum()), int(coded.sum())]
     rows = [
         (planes(total[w]), planes(place[w]), b" ".join([each[i] for i in w[total[w] < 2].tolist()]), planes(tail[w]), *sums) for w in words
@@ -307,12 +331,14 @@ def _code_texts(book: Book):
         place = place + np.repeat([book.base[p] for p in words["part"].to_pylist()], sizes).astype(np.int64)
         code[common] = codes_of(place[common], total[common], book.total)
         base = np.log10((total + 1) / (book.tokens + book.known + 1))
+        # By word, in this order: the bytes of code and tail as planes() lays them, and two flags.
+        of_word = np.ascontiguousarray(np.concatenate([x.view(np.uint8).reshape(len(x), -1).T for x in (code, tail, total > 0, spells)]))
         rows: list[tuple] = []
         for x in texts["numbers"].to_pylist():
-            at = numbers(x, np.uint32)
-            own = at[spells[at]]
-            out = b"".join([spelled[i] + b" " for i in nth[own].tolist()])
-            rows.append((len(at), int((total[at] > 0).sum()), float(base[at].sum()), planes(code[at]), planes(tail[at]), out))
+            at = numbers(x, np.uint32).astype(np.intp)
+            own = of_word.take(at, axis=1, mode="clip")
+            out = b"".join([spelled[i] + b" " for i in nth[at[own[11].view(bool)]].tolist()])
+            rows.append((len(at), np.count_nonzero(own[10]), float(base[at].sum()), own[:8].tobytes(), own[8:10].tobytes(), out))
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.large_binary(), pa.large_binary(), pa.large_binary())
         columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds]
         columns = [c.cast(pa.binary()) if c.type == pa.large_binary() else c for c in columns]
@@ -363,11 +389,12 @@ def _place(bits: list[int]) -> int:
 class Bits:
     """Bits of a step: the mixer they belong to, value, token, slot in each of the mixer's tables, and a number about their depth.
 
-    While the model learns, twice the slot plus the bit stands for the slot.
+    While the model learns, twice the slot plus the bit stands for the slot. ``first``: of words' codes the first bits;
+    the owners of the deeper bits that follow are the first ones of theirs.
     """
 
-    def __init__(self, kind: int, bit: np.ndarray, owner: np.ndarray, slots: list[np.ndarray], depth):
-        self.kind, self.bit, self.owner, self.slots, self.depth = kind, bit, owner, slots, depth
+    def __init__(self, kind: int, bit: np.ndarray, owner: np.ndarray, slots: list[np.ndarray], depth, first: bool = False):
+        self.kind, self.bit, self.owner, self.slots, self.depth, self.first = kind, bit, owner, slots, depth, first
 
 
 def _slot(context: np.ndarray, node: np.ndarray, bits: int, start: int) -> np.ndarray:
@@ -463,7 +490,7 @@ class Texts:
                 place = node & np.uint32((1 << into) - 1) | np.uint32(1 << into)
                 if learning:
                     place = place << learning | bit
-                yield Bits(WORDS, bit, owner[:n], [slot, *(g[:n] ^ place for g in groups)], (depth >= 4) + (depth >= 9))
+                yield Bits(WORDS, bit, owner[:n], [slot, *(g[:n] ^ place for g in groups)], (depth >= 4) + (depth >= 9), not depth)
             else:
                 deep.append((bit, owner[:n], slot))
         if deep:
@@ -545,7 +572,7 @@ def _count_bits(shape: Shape):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, any_ = np.zeros(2 * shape.size, np.uint32), False
         one = np.uint32(1)
-        for batch in chunks(batches, "codes", 4 << 20):
+        for batch in chunks(batches, "codes", CODES):
             any_ = True
             for bits in shape.texts(batch, learning=True).steps():
                 for s in bits.slots:
@@ -568,12 +595,14 @@ COUNT_TYPES = "chunk bigint, who bigint, counts binary"
 def _packed(counts: np.ndarray) -> bytes:
     """A slice of whole numbers: their lowest bytes, then places and values of those that don't fit a byte."""
     large = np.flatnonzero(counts > 255)
-    return zlib.compress(counts.astype(np.uint8).tobytes() + planes(np.concatenate([large, counts[large].astype(np.int64)])), 1) + len(large).to_bytes(4, "little")
+    data = counts.astype(np.uint8).tobytes() + planes(np.concatenate([large, counts[large].astype(np.int64)]))
+    return ZSTD.compress(data, asbytes=True) + len(counts).to_bytes(4, "little") + len(large).to_bytes(4, "little")
 
 
 def _slice(x: bytes) -> np.ndarray:
-    n, data = int.from_bytes(x[-4:], "little"), zlib.decompress(x[:-4])
-    counts = np.frombuffer(data, np.uint8, len(data) - 16 * n).astype(np.int64)
+    size, n = int.from_bytes(x[-8:-4], "little"), int.from_bytes(x[-4:], "little")
+    data = ZSTD.decompress(x[:-8], size + 16 * n, asbytes=True)
+    counts = np.frombuffer(data, np.uint8, size).astype(np.int64)
     large = numbers(data[len(counts) :], np.int64)
     counts[large[:n]] = large[n:]
     return counts
@@ -585,17 +614,23 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": table["chunk"].slice(0, 1), "who": pa.array([who], pa.int64()), "counts": pa.array([_packed(total)], pa.binary())})
 
 
-def _bin(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    u = (np.clip(z, -7.999, 7.999) + np.float32(8)) * np.float32((BINS - 1) / 16)
-    place = u.astype(np.int32)
-    return place, u - place
+#: By bit: what makes a stretched probability of a one into that of the other bit.
+SIGN = np.array([1, -1], np.float32)
+
+
+def _scaled(z: np.ndarray) -> np.ndarray:
+    """Places among the refinement's bins, in parts of a bin."""
+    u = np.clip(z, np.float32(-7.999), np.float32(7.999))
+    u += np.float32(8)
+    u *= np.float32((BINS - 1) / 16)
+    return u
 
 
 class Mixer:
     """Gated weights and the refinement over some of the tables."""
 
     def __init__(self, kind: int):
-        self.n, self.gates = len(INPUTS[kind]), GATES[kind]
+        self.kind, self.n, self.gates = kind, len(INPUTS[kind]), GATES[kind]
         self.weights = np.full((self.n + 1, self.gates), 0.3, np.float32)
         self.weights[self.n] = 0
         self.refine: np.ndarray | None = None
@@ -603,42 +638,72 @@ class Mixer:
         self.stats = np.zeros((2, 2 * self.gates * BINS))  # by gate, bin and bit: how many, and what of them goes to the next bin
         self.mass = 0.0
 
-    def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        z = self.weights[self.n].take(gate, mode="clip") * np.float32(0.3)
-        for i in range(self.n):
-            w = self.weights[i].take(gate, mode="clip")
+    def inputs(self, bits: Bits, stretched: np.ndarray) -> tuple[np.ndarray, np.ndarray, slice]:
+        """The bits' inputs by row, each bit's gate as its place among those that the depth leaves, and these gates."""
+        x = np.empty((self.n + 1, len(bits.bit)), np.float32)
+        for i, s in enumerate(bits.slots):
+            stretched.take(s, mode="clip", out=x[i])
+        x[self.n] = 0.3
+        first, *more = (x[k].view(np.uint32).astype(np.uint8) & PART for k in GATED[self.kind])
+        gate = sum(more, first)
+        if self.kind == WORDS:  # the depth is the same for all
+            return x, gate // np.uint8(3), slice(bits.depth, None, 3)
+        return x, gate + np.uint8(bits.depth), slice(None)
+
+    @staticmethod
+    def mixed(weights: np.ndarray, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        gate = gate.astype(np.intp)
+        z = weights[-1].take(gate, mode="clip")
+        z *= x[-1]
+        for i in range(len(x) - 1):
+            w = weights[i].take(gate, mode="clip")
             w *= x[i]
             z += w
-        return np.clip(z, -14, 14, out=z)
+        return z
 
-    def learn(self, bit: np.ndarray, x: list[np.ndarray], gate: np.ndarray) -> None:
+    def learn(self, bits: Bits, stretched: np.ndarray) -> None:
         """One online step: predict, note what happened for the refinement, then follow the gradient."""
-        z = self.mixed(x, gate)
-        place, share = _bin(z)
-        at = gate * (2 * BINS) + (place * np.int32(2) + bit)
-        seen = np.bincount(at, minlength=self.stats.shape[1])
-        self.stats[0] += seen
-        self.stats[1] += np.bincount(at, share, self.stats.shape[1])
+        x, gate, gates = self.inputs(bits, stretched)
+        weights, squares = self.weights[:, gates], self.squares[:, gates]
+        z = np.clip(self.mixed(weights, x, gate), -14, 14)
+        u = _scaled(z)
+        place = np.floor(u)
+        u -= place
+        at = place.astype(np.int32)
+        at += gate * np.int32(BINS)
+        at <<= np.int32(1)
+        at += bits.bit
+        n, size = weights.shape[1], 2 * BINS * weights.shape[1]
+        seen = np.bincount(at, minlength=size).reshape(n, -1)
+        stats = self.stats.reshape(2, self.gates, -1)[:, gates]
+        stats[0] += seen
+        stats[1] += np.bincount(at, u, size).reshape(n, -1)
         error = np.exp(np.negative(z, out=z), out=z)
         error += np.float32(1)
         np.divide(np.float32(1), error, out=error)
-        error -= bit
-        mass = np.maximum(seen.reshape(self.gates, -1).sum(1), 1)
-        g = np.stack([*(np.bincount(gate, error * v, self.gates) for v in x), np.bincount(gate, error, self.gates) * 0.3]) / mass
-        self.squares += g * g
-        self.weights -= (RATE * g / np.sqrt(self.squares + 1e-6)).astype(np.float32)
+        error -= bits.bit
+        x *= error
+        # By input and gate, as a product with which gate each bit has.
+        g = x @ (gate == np.arange(n, dtype=np.uint8)[:, None]).astype(np.float32).T / np.maximum(seen.sum(1), 1)
+        squares += g * g
+        weights -= (RATE * g / np.sqrt(squares + 1e-6)).astype(np.float32)
         self.mass += len(z)
 
-    def cost(self, bit: np.ndarray, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+    def cost(self, bits: Bits, stretched: np.ndarray) -> np.ndarray:
         """-ln P of each bit."""
-        z = self.mixed(x, gate)
+        x, gate, gates = self.inputs(bits, stretched)
+        z = self.mixed(self.weights[:, gates], x, gate)
+        np.clip(z, -14, 14, out=z)
         if self.refine is not None:
-            place, share = _bin(z)
-            at = gate * BINS + place
-            lo = self.refine.take(at, mode="clip")
-            z += lo + share * (self.refine.take(at + 1, mode="clip") - lo)
+            u = _scaled(z)
+            at = u.astype(np.int32)
+            at += gate * np.int32(BINS)
+            base, slope = (t[gates].reshape(-1) for t in self.lines)
+            u *= slope.take(at, mode="clip")
             z *= np.float32(0.5)
-        z *= np.float32(1) - 2 * bit.astype(np.float32)
+            z += base.take(at, mode="clip")
+            z += u
+        z *= SIGN.take(bits.bit)
         return np.log1p(np.exp(z, out=z), out=z)
 
     def packed(self) -> np.ndarray:
@@ -659,6 +724,10 @@ class Mixer:
         centre = np.tile(np.arange(BINS) * 16 / (BINS - 1) - 8, self.gates)
         p = (ones + 4 / (1 + np.exp(-centre))) / (seen + 4)
         self.refine = np.log(p / (1 - p)).astype(np.float32)
+        # Half the refinement as a line from each bin to the next.
+        low = 0.5 * np.log(p / (1 - p)).reshape(-1, BINS)
+        slope = np.diff(low, append=low[:, -1:])
+        self.lines = (low - slope * np.arange(BINS)).astype(np.float32), slope.astype(np.float32)
 
 
 class Model:
@@ -689,31 +758,27 @@ class Model:
                 total = zeros + ones - own
                 part = sum((total >= c).view(np.uint8) for c in cuts) * np.uint8(step)
                 for x in said:
-                    x.view(np.uint32)[:] = x.view(np.uint32) & ~PART | part
+                    x.view(np.uint32)[:] = x.view(np.uint32) & ~np.uint32(PART) | part
             for x, y in zip(by_bit, said, strict=True):
                 x[at] = y
 
-    def _gate(self, bits: Bits, x: list[np.ndarray]) -> np.ndarray:
-        gate = np.uint32(bits.depth)
-        for k in GATED[bits.kind]:
-            gate = gate + (x[k].view(np.uint32) & PART)
-        return gate.astype(np.intp)
-
     def learn(self, texts: Texts) -> None:
         for bits in texts.steps(LEARN_STEP):
-            x = [self.stretched.take(s, mode="clip") for s in bits.slots]
-            self.mixers[bits.kind].learn(bits.bit, x, self._gate(bits, x))
+            self.mixers[bits.kind].learn(bits, self.stretched)
 
     def log_p(self, texts: Texts) -> np.ndarray:
         """ln P of every token before the adaptation."""
-        out = texts.extra.copy()
+        out, owner, total = texts.extra.copy(), [], 0
         for bits in texts.steps():
-            x = [self.stretched.take(s, mode="clip") for s in bits.slots]
-            cost = self.mixers[bits.kind].cost(bits.bit, x, self._gate(bits, x))
+            cost = self.mixers[bits.kind].cost(bits, self.stretched)
+            if bits.first:
+                out[owner] -= total  # no token twice
+                owner, total = bits.owner, np.zeros(len(cost))
             if bits.kind == WORDS:
-                out[bits.owner] -= cost  # no token twice
+                total[: len(cost)] += cost
             else:
                 np.subtract.at(out, bits.owner, cost.astype(np.float64))
+        out[owner] -= total
         return out
 
 
@@ -736,7 +801,7 @@ def _score(shape: Shape, shared, learned: list[np.ndarray]):
         for mixer, values in zip(model.mixers, learned, strict=True):
             mixer.learned(values)
         names = ["doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base_score"]
-        for batch in chunks(batches, "codes", 2 << 20):
+        for batch in chunks(batches, "codes", CODES):
             texts = shape.texts(batch)
             out = adapted(model.log_p(texts), texts.ident, texts.lengths) / math.log(10)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(out)], [*names, "score"])
@@ -782,15 +847,22 @@ def train(coded: DataFrame, book: Book) -> tuple[Shape, object, list[np.ndarray]
 def _seen_before(key: np.ndarray) -> np.ndarray:
     """How often each place's key came at earlier places."""
     n = len(key)
-    order = np.argsort(key)
+    low = np.uint64(n.bit_length())
+    at = key >> low << low
+    at |= np.arange(n, dtype=np.uint64)
+    at.sort()  # by the keys' upper bits, then by place
+    upper = at >> low
+    at &= (np.uint64(1) << low) - np.uint64(1)
+    order = at.view(np.int64)
     ranked = key[order]
-    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    group = np.cumsum(fresh) - 1
-    number = np.empty(n, np.int64)
-    number[order] = group
-    order = np.sort(number * n + np.arange(n)) - group * n  # the places of each key in their order
+    fresh = ranked[1:] != ranked[:-1]
+    if (fresh != (upper[1:] != upper[:-1])).any():  # keys that only differ below
+        order = np.argsort(key, kind="stable")
+        ranked = key[order]
+        fresh = ranked[1:] != ranked[:-1]
+    first = np.concatenate([[0], np.flatnonzero(fresh) + 1])
     before = np.empty(n, np.float64)
-    before[order] = np.arange(n) - np.flatnonzero(fresh)[group]
+    before[order] = np.arange(n) - np.repeat(first, np.diff(first, append=n))
     return before
 
 
@@ -808,9 +880,10 @@ def _mixture(log_p: np.ndarray, before: np.ndarray, place: np.ndarray, strengths
         each[again] = np.log(seen + a * p)
         each -= np.log(place + a)
         sums = np.cumsum(each)
-        totals[i] = sums - np.where(starts > 0, sums[starts - 1], 0)[text]
-    top = totals.max(0)
-    total = top + np.log(np.exp(totals - top).mean(0))
+        np.subtract(sums, np.where(starts > 0, sums[starts - 1], 0)[text], out=totals[i])
+    total = totals.max(0)
+    totals -= total
+    total += np.log(np.exp(totals, out=totals).sum(0)) - math.log(len(strengths))
     out = np.diff(total, prepend=0)
     out[starts] = total[starts]
     return out
@@ -819,12 +892,21 @@ def _mixture(log_p: np.ndarray, before: np.ndarray, place: np.ndarray, strengths
 def adapted(log_p: np.ndarray, ident: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """ln P of each text with adaptation to the text itself; tokens of the texts, by ``ident``, lie end to end.
 
-    First the words of the text so far are mixed in, then the words that followed the same word in it.
+    First the words of the text so far are mixed in, then the words that followed the same word in it. Some texts at a
+    time, whose arrays stay in the processor's cache.
     """
+    ends, out = np.cumsum(lengths), []
+    for a, b in _cut(lengths, ADAPTED):
+        tokens = slice(int(ends[a] - lengths[a]), int(ends[b - 1]))
+        out.append(_adapted(log_p[tokens], ident[tokens], lengths[a:b]))
+    return np.concatenate(out)
+
+
+def _adapted(log_p: np.ndarray, ident: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     starts = np.cumsum(lengths) - lengths
     text = np.repeat(np.arange(len(lengths)), lengths)
     place = (np.arange(len(ident)) - starts[text]).astype(np.float64)
-    word = mix(ident + mix(text.astype(np.uint64) + np.uint64(1)))
+    word = mix(ident + mix(np.arange(1, len(lengths) + 1, dtype=np.uint64))[text])
     before = _seen_before(word)
     one = _mixture(log_p, before, place, STRENGTHS, starts, text)
     last, after = np.zeros_like(word), np.zeros_like(before)

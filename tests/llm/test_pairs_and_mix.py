@@ -507,3 +507,71 @@ def test_slices_of_counts_and_earlier_places():
 
 def test_empty_corpus(spark):
     assert context_mixing.score_texts(spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("kind", [context_mixing.WORDS, context_mixing.REST, context_mixing.BYTES])
+def test_a_step_of_learning_and_its_costs_against_loops(kind):
+    """Products over all gates at once give each gate's own gradient, and lines from bin to bin the refinement between them."""
+    import numpy as np
+
+    rng = np.random.default_rng(kind)
+    parts = {context_mixing.WORDS: {1: (0, 9, 18, 27), 2: (0, 3, 6)}, context_mixing.REST: {0: (0, 1, 2, 3)}, context_mixing.BYTES: {4: (0, 6, 12, 18), 3: (0, 2, 4)}}[kind]
+    mixer, n = context_mixing.Mixer(kind), 700
+    stretched = (4 * rng.standard_normal((mixer.n, 50))).astype(np.float32)
+    seen = np.zeros((mixer.n, 50), np.uint32)
+    for i, values in parts.items():
+        seen[i] = rng.choice(values, 50)
+        stretched[i].view(np.uint32)[:] = stretched[i].view(np.uint32) & ~np.uint32(31) | seen[i]
+    at = [rng.integers(0, 50, n) for _ in range(mixer.n)]
+    slots = [(a + 50 * i).astype(np.uint32) for i, a in enumerate(at)]
+    bit, depth = rng.integers(0, 2, n).astype(np.uint8), {context_mixing.WORDS: 2, context_mixing.REST: 0, context_mixing.BYTES: rng.integers(0, 2, n).astype(np.uint8)}[kind]
+    weights = (0.3 * rng.standard_normal(mixer.weights.shape)).astype(np.float32)
+    mixer.weights[:] = weights
+    bits = context_mixing.Bits(kind, bit, np.arange(n), slots, depth)
+    mixer.learn(bits, stretched.reshape(-1))
+    gate = sum(seen[i][at[i]].astype(int) for i in parts) + depth
+    x = np.stack([*(stretched[i][at[i]] for i in range(mixer.n)), np.full(n, 0.3)]).astype(float)
+    z = np.clip((weights[:, gate] * x).sum(0), -14, 14)
+    want = weights.astype(float)
+    for g in set(gate.tolist()):
+        own = gate == g
+        gradient = ((1 / (1 + np.exp(-z[own])) - bit[own]) * x[:, own]).mean(1)
+        want[:, g] -= context_mixing.RATE * gradient / np.sqrt(gradient**2 + 1e-6)
+        assert mixer.stats.reshape(2, mixer.gates, -1)[0, g].sum() == own.sum()
+    assert np.allclose(mixer.weights, want, atol=2e-3) and mixer.mass == n
+    mixer.learned(mixer.packed())
+    cost = mixer.cost(bits, stretched.reshape(-1))
+    z = np.clip((mixer.weights[:, gate] * x).sum(0), -14, 14)
+    u = (np.clip(z, -7.999, 7.999) + 8) * 2
+    lo = u.astype(int)
+    curve = mixer.refine.reshape(mixer.gates, -1).astype(float)
+    z = (z + curve[gate, lo] * (1 - u + lo) + curve[gate, lo + 1] * (u - lo)) / 2
+    assert np.allclose(cost, np.log1p(np.exp(np.where(bit == 1, -z, z))), atol=1e-4)
+
+
+def test_words_are_numbered_as_they_come():
+    blobs = [b"b a b  c", b"", b" a", "é b é".encode(), b"b"]
+    words, at = context_mixing._numbered([context_mixing._split(x) for x in blobs])
+    assert words == list(dict.fromkeys(w for x in blobs for w in x.split(b" ")))
+    assert [[words[i] for i in a] for a in at] == [x.split(b" ") for x in blobs]
+    assert context_mixing._numbered([]) == ([], [])
+
+
+def test_keys_that_only_differ_in_their_lowest_bits():
+    import numpy as np
+
+    key = np.array([8, 9, 8, 10, 9, 8], np.uint64)
+    assert context_mixing._seen_before(key).tolist() == [0, 0, 1, 0, 1, 2]
+
+
+def test_adaptation_some_texts_at_a_time(monkeypatch):
+    """However few tokens go together, every text's adaptation is the same."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    lengths = rng.integers(1, 40, 50)
+    ident, log_p = rng.integers(0, 30, lengths.sum()).astype(np.uint64), -10 * rng.random(lengths.sum())
+    whole = context_mixing.adapted(log_p, ident, lengths)
+    for limit in (1, 60):
+        monkeypatch.setattr(context_mixing, "ADAPTED", limit)
+        assert np.allclose(context_mixing.adapted(log_p, ident, lengths), whole, rtol=1e-9)
