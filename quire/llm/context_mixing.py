@@ -782,10 +782,23 @@ class Model:
         return out
 
 
+def _prepared(shape: Shape, shared, learning: bool) -> Model:
+    """The model with its stretched predictions; a worker keeps them for its next task beside the broadcast counts."""
+    model = Model(shape, shared.value)
+    kept = getattr(shared, "prepared", None)
+    if kept and kept[0] == learning:
+        model.stretched = kept[1]
+    else:
+        shared.prepared = None  # freed before the other one is made
+        del kept
+        model.prepare(learning)
+        shared.prepared = learning, model.stretched
+    return model
+
+
 def _learn(shape: Shape, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shape, shared.value)
-        model.prepare(learning=True)
+        model = _prepared(shape, shared, learning=True)
         for batch in chunks(batches, "codes", 2 << 20):
             model.learn(shape.texts(batch, learning=True))
         values = np.concatenate([m.packed() for m in model.mixers])
@@ -796,8 +809,7 @@ def _learn(shape: Shape, shared):
 
 def _score(shape: Shape, shared, learned: list[np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shape, shared.value)
-        model.prepare()
+        model = _prepared(shape, shared, learning=False)
         for mixer, values in zip(model.mixers, learned, strict=True):
             mixer.learned(values)
         names = ["doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base_score"]

@@ -575,3 +575,19 @@ def test_adaptation_some_texts_at_a_time(monkeypatch):
     for limit in (1, 60):
         monkeypatch.setattr(context_mixing, "ADAPTED", limit)
         assert np.allclose(context_mixing.adapted(log_p, ident, lengths), whole, rtol=1e-9)
+
+
+def test_a_worker_prepares_its_tables_once_for_each_pass():
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    book = SimpleNamespace(tokens=50)
+    shape = context_mixing.Shape(book, context_mixing.Code(np.arange(256)))
+    shared = SimpleNamespace(value=np.random.default_rng(1).integers(0, 9, 2 * shape.size).astype(np.float32))
+    for learning in (True, False, True):
+        one, again = (context_mixing._prepared(shape, shared, learning) for _ in range(2))
+        fresh = context_mixing.Model(shape, shared.value)
+        fresh.prepare(learning)
+        assert again.stretched is one.stretched and np.array_equal(one.stretched, fresh.stretched)
+        assert again.mixers is not one.mixers
